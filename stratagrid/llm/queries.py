@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from stratagrid.llm import pii, quality, sharding, warc
+from pyspark.sql import functions as F
+
+from stratagrid.llm import lm, pii, quality, sharding, substring, warc
 from stratagrid.session import shared_dir, table
 
 
@@ -12,6 +14,15 @@ def op1_shard(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark, sf_dir):
+    found = substring.duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -26,7 +37,7 @@ def op10_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op5_warc, op8_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_shard, op3_substring, op4_lm, op5_warc, op8_pii, op10_quality)}
 ORACLES: dict[str, str] = {
     "op5_warc": """
         WITH b AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
