@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagrid.llm import quality, sharding
+from stratagrid.llm import decontam, mixing, neardup, quality, sharding
 from stratagrid.session import shared_dir, table
 
 SHARDS = 24
@@ -17,12 +17,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest id."""
+    return neardup.keep(docs)
+
+
+def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says, so that domains meet their target weights."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+
+
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the shard and the slot that the uniform shuffle gives them."""
     return sharding.shuffled(docs, SHARDS)
 
 
-STAGES = [("quality_rules", quality_stage), ("sharding", shard_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("minhash_neardup", neardup_stage),
+    ("decontamination", decontam_stage),
+    ("mixing", mixing_stage),
+    ("sharding", shard_stage),
+]
 
 #: Drawing, hashing and clustering have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

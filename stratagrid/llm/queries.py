@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stratagrid.llm import lm, pii, quality, sharding, substring, warc
+from stratagrid.llm import decontam, lm, mixing, neardup, pii, quality, sharding, substring, toxicity, warc
 from stratagrid.session import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op1_shard(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substring(spark, sf_dir):
     found = substring.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -29,15 +33,27 @@ def op5_warc(spark, sf_dir):
     return warc.described(warc.read_archive(spark, path))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_minhash(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+
+
 def op8_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op3_substring, op4_lm, op5_warc, op8_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_toxicity, op3_substring, op4_lm, op5_warc, op6_mixing, op7_minhash, op8_pii, op9_decontam, op10_quality)}
 ORACLES: dict[str, str] = {
     "op5_warc": """
         WITH b AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
