@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from stratagrid.operators.bars import bars
 from stratagrid.plans.registry import query
+from stratagrid.plans.sql import BARS
 from stratagrid.session import table
 
-BARS_SQL = """
-SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date,
-       arg_min(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS open,
-       max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-       arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS close,
-       sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
-FROM lineitem GROUP BY 1, 2"""
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(table(spark, sf_dir, "lineitem"))
 
-@query("bars", f"SELECT entity, date, open, high, low, close, volume, round(amount, 4) AS amount FROM ({BARS_SQL})")
-def bars_query(spark, sf_dir):
-    from pyspark.sql import functions as F
 
-    return bars(table(spark, sf_dir, "lineitem")).withColumn("amount", F.round("amount", 4))
+@query("sc01_bars", f"SELECT entity, date, open, high, low, close, volume, round(amount, 4) AS amount FROM ({BARS})")
+def bars_query(spark, sf_dir):
+    return daily(spark, sf_dir).withColumn("amount", F.round("amount", 4))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "bars"
+FLAGSHIP = "flagship"
 
 
 def query(name: str, sql: str | None = None):
@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from stratagrid.plans import bars  # noqa: E402,F401
+from stratagrid.plans import bars, cross_section, kernels, technical  # noqa: E402,F401
