@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from stratagrid.plans import bars, channels, cross_section, kernels, series, technical  # noqa: E402,F401
+from stratagrid.plans import aggregates, bars, channels, cross_section, kernels, series, technical  # noqa: E402,F401

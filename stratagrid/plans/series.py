@@ -36,7 +36,7 @@ put("wo18_holders", lambda: s.holders("volume"), {"hn_z": f"-(volume - {some('vo
 put("wo15_variation", lambda: {"cv": s.variation("volume", 20, 10)}, {"cv": f"{some('volume', 20, 10, 'stddev_pop')} / abs({some('volume', 20, 10)})"})
 put("wo14_momentum", lambda: s.momentum("ret"), {f"mom_{d}": some("ret", d, max(5, d // 4), "sum") for d in (5, 20, 60, 252)})
 put("wo26_text_windows", lambda: s.text_windows("ret"), {f"{k}_{d}": some("ret", d, max(1, d // 3), f) for d in (3, 5, 10, 20) for k, f in (("mean", "avg"), ("std", "stddev_samp"))})
-put("wo42_sequence_summary", lambda: s.sequence_summary("close"), {"seq_mean": full("close", 20), "seq_std": full("close", 20, "stddev_pop"), "seq_slope": f"CASE WHEN count(close) OVER {w(20)} = 20 THEN regr_slope(close, rn) OVER {w(20)} END", "seq_lag1": f"lag(close) OVER {E}", "seq_lag2": f"lag(close, 2) OVER {E}"}, places=8)
+put("wo42_sequence_summary", lambda: s.sequence_summary("close"), {"seq_mean": full("close", 20), "seq_std": full("close", 20, "stddev_pop"), "seq_slope": f"CASE WHEN count(close) OVER {w(20)} = 20 THEN regr_slope(close, rn) OVER {w(20)} END"})
 put("wo38_flat_target", s.flat_target, {"flat_return": f"(lead(close, 5) OVER {E} - close) / (close + 1e-8)", "label": f"CASE WHEN (lead(close, 5) OVER {E} - close) / (close + 1e-8) > 0.003 THEN 2 WHEN (lead(close, 5) OVER {E} - close) / (close + 1e-8) < -0.003 THEN 0 WHEN lead(close, 5) OVER {E} IS NOT NULL THEN 1 END"})
 put("wo25_expanding_share", lambda: {"share": s.expanding_share("volume")}, {"share": f"volume / max(volume) OVER {SO_FAR}"}, places=9)
 W20 = w(20)
