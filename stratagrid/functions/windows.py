@@ -75,3 +75,10 @@ def clip(x: Column, low: float, high: float) -> Column:
 def rounded(*names: str, places: int = 6):
     """For ``select``: entity, date and the named columns rounded, so that engines can be compared."""
     return [ENTITY, DATE, *(F.round(n, places).alias(n) for n in names)]
+
+
+def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of pairs that are both there; NULL (not an error) where either does not vary."""
+    a, b = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    f = lambda agg: agg if over is None else agg.over(over)
+    return F.try_divide(f(F.covar_pop(a, b)), f(F.stddev_pop(a)) * f(F.stddev_pop(b)))

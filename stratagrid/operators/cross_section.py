@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagrid.functions.ranks import average_rank, normal_quantile
-from stratagrid.functions.windows import DATE, clip, col, last_rows, per_date
+from stratagrid.functions.windows import DATE, clip, col, correlation, last_rows, per_date
 
 FEW = 5
 
@@ -114,7 +114,7 @@ def daily_rank_ic(df: DataFrame, score: str, outcome: str, least: int = 10) -> D
     """
     pool = df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
     ranked = pool.withColumns({"_a": average_rank(score, DATE), "_b": average_rank(outcome, DATE)})
-    by = ranked.groupBy(DATE).agg(F.count("*").alias("n"), F.when(F.min(score) < F.max(score), F.corr("_a", "_b")).alias("ic"))
+    by = ranked.groupBy(DATE).agg(F.count("*").alias("n"), F.when(F.min(score) < F.max(score), correlation("_a", "_b")).alias("ic"))
     return by.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 

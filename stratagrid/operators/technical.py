@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.functions.windows import DATE, ENTITY, before, change, col, full, last_rows, or_if_zero, returns, so_far
+from stratagrid.functions.windows import DATE, ENTITY, before, change, col, correlation, full, last_rows, or_if_zero, returns, so_far
 
 TINY = 1e-10
 SPANS = (5, 10, 20, 30, 60)
@@ -110,7 +110,7 @@ def position(d: int) -> dict[str, Column]:
 
 def correlations(d: int) -> dict[str, Column]:
     """Needs ``lv`` = ln(volume + 1), ``ret`` and ``lvr`` = ln(|volume return| + 1)."""
-    both = lambda x, y: F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(last_rows(d)) == d, F.corr(x, y).over(last_rows(d)))
+    both = lambda x, y: F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(last_rows(d)) == d, correlation(x, y, last_rows(d)))
     return {f"corr_{d}": both("close", "lv"), f"cord_{d}": both("ret", "lvr")}
 
 

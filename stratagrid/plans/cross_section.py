@@ -81,7 +81,7 @@ def sector_strength(spark, sf_dir):
 IC = HEAD + f""",
 pool AS (SELECT * FROM m WHERE score IS NOT NULL AND fwd IS NOT NULL),
 k AS (SELECT date, score, {rank_sql('score')} AS a, {rank_sql('fwd')} AS b FROM pool),
-ic AS (SELECT date, count(*) AS n, CASE WHEN min(score) < max(score) THEN corr(a, b) END AS ic FROM k GROUP BY date HAVING count(*) >= 10)"""
+ic AS (SELECT date, count(*) AS n, CASE WHEN min(score) < max(score) AND min(b) < max(b) THEN corr(a, b) END AS ic FROM k GROUP BY date HAVING count(*) >= 10)"""
 
 
 @query("cx15_daily_rank_ic", IC + " SELECT date, n, round(ic, 6) AS ic FROM ic WHERE ic IS NOT NULL")
