@@ -63,6 +63,11 @@ def around(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, pa
     return np.where(inside, short[np.clip(index, 0, max(0, len(h) - 1))], np.uint32(pad))
 
 
+def listed(words: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * WIDE), pa.array(words.ravel().view(np.int32)))
+
+
 def prepared(part: pa.RecordBatch):
     words = [words_of(t) for t in raw(part.column("text"))]
     counts = np.array([len(w) for w in words], np.int64)
@@ -90,13 +95,13 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
                     d = doc[at]
                     words = around(h, at, begin[d], begin[d + 1], 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g.view(np.int64)), part.column("item_id").take(pa.array(d)), pa.array((at - begin[d]).astype(np.int32)), pa.array(counts[d].astype(np.int32)), pa.array([w.tobytes() for w in words], pa.binary())],
+                        [pa.array(g.view(np.int64)), part.column("item_id").take(pa.array(d)), pa.array((at - begin[d]).astype(np.int32)), pa.array(counts[d].astype(np.int32)), listed(words)],
                         ["seed", "item_id", "pos", "length", "item_words"],
                     )
 
     kind = dict(benchmark.dtypes)["item_id"]
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"seed long, item_id {kind}, pos int, length int, item_words binary")
+    return rows.mapInArrow(run, f"seed long, item_id {kind}, pos int, length int, item_words array<int>")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -134,31 +139,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     words = around(h, at, begin[d], begin[d + 1], 0)
                     take = pa.array(d)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g.view(np.int64)), part.column("doc_id").take(take), part.column("key").take(take), pa.array((at - begin[d]).astype(np.int64)), pa.array([w.tobytes() for w in words], pa.binary())],
+                        [pa.array(g.view(np.int64)), part.column("doc_id").take(take), part.column("key").take(take), pa.array((at - begin[d]).astype(np.int64)), listed(words)],
                         ["seed", "doc_id", "key", "start", "doc_words"],
                     )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.col("text").cast("string").alias("text"))
-    hits = rows.mapInArrow(run, f"seed long, doc_id {kind}, key binary, start long, doc_words binary")
-
-    def verify(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, WIDE) for c in ("doc_words", "item_words"))
-            length, pos = (batch.column(c).to_numpy() for c in ("length", "pos"))
-            same = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(a == b, axis=1)], axis=1)
-            best = np.max([same[:, s + REACH] - same[:, s] for s in range(SIDE + 1)], axis=0)
-            whole = np.arange(len(a))
-            first = np.clip(SIDE - pos, 0, WIDE)
-            total = same[whole, np.clip(first + length, 0, WIDE)] - same[whole, first]
-            ok = np.where(length < REACH, total >= length - length // 8, best >= REACH - SPARE)
-            yield batch.select(["doc_id", "key", "item_id", "start"]).filter(pa.array(ok))
-
-    both = hits.join(known, "seed").select("doc_id", "key", "item_id", "start", "pos", "length", "doc_words", "item_words")
-    item = dict(benchmark.dtypes)["item_id"]
-    return both.mapInArrow(verify, f"doc_id {kind}, key binary, item_id {item}, start long")
+    hits = rows.mapInArrow(run, f"seed long, doc_id {kind}, key binary, start long, doc_words array<int>")
+
+    both = hits.join(known, "seed")
+    same = F.zip_with("doc_words", "item_words", lambda a, b: (a == b).cast("int"))
+    total = lambda begin, n: F.aggregate(F.slice(F.col("same"), begin, n), F.lit(0), lambda a, v: a + v)
+    best = F.greatest(*(total(F.lit(s + 1), F.lit(REACH)) for s in range(SIDE + 1)))
+    begin = F.greatest(F.lit(SIDE) - F.col("pos"), F.lit(0)) + 1
+    whole = total(begin, F.least(F.col("length"), F.lit(WIDE + 1) - begin))
+    ok = F.when(F.col("length") < REACH, whole >= F.col("length") - F.floor(F.col("length") / 8)).otherwise(best >= REACH - SPARE)
+    return both.withColumn("same", same).where(ok).select("doc_id", "key", "item_id", "start")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

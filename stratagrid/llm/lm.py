@@ -129,6 +129,25 @@ class Trie:
         return out
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes each that hold the largest; the first byte tells how many."""
+    size = np.min_scalar_type(int(numbers.max())).itemsize if len(numbers) else 1
+    return bytes([size]) + numbers.astype(f"u{size}").tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"u{held[0]}", offset=1)
+
+
+def planes(rising: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, first all their lowest bytes, and so on: the highest are zeros, which compress."""
+    return np.diff(rising, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def tokens(table: pa.Table):
     """Ids, training flags, lengths and token hashes of a block, and the pair key of each token and the one before it."""
     held = sorted(zip((NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()), table.column("train").to_pylist(), table.column("text").to_pylist(), strict=True))
@@ -157,13 +176,13 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         for level, all_keys in ((0, h), (1, pair)):
             keys, which = np.unique(all_keys, return_inverse=True)
             times = np.bincount(which, weights=used, minlength=len(keys)).astype(np.uint32)
-            rows += [(level * n_shards + s, keys[p].tobytes(), times[p].tobytes()) for s, p in enumerate(spread(*dealt(keys, n_shards), n_shards)) if len(p)]
+            rows += [(level * n_shards + s, planes(keys[p]), packed(times[p])) for s, p in enumerate(spread(*dealt(keys, n_shards), n_shards)) if len(p)]
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary())})
 
     def merged(table: pa.Table):
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()])
+        keys = [unplaned(x) for x in table.column("keys").to_pylist()]
+        times = np.concatenate([unpacked(x) for x in table.column("times").to_pylist()])
         own, which = np.unique(np.concatenate(keys), return_inverse=True)
         return starts_of(np.array([len(k) for k in keys])), own, which, np.bincount(which, weights=times, minlength=len(own)).astype(np.int64)
 
@@ -181,7 +200,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
             with tempfile.TemporaryDirectory() as folder:
                 found = Trie(own[count > 0], count[count > 0], folder).find(own)
         found = found[which]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "found": pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "found": pa.array([packed(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, train, counts, h, before, pair = tokens(left)
@@ -191,12 +210,12 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         count = np.zeros(len(words))
         for s, p in enumerate(spread(*dealt(words, n_shards), n_shards)):
             if len(p):
-                count[p] = np.frombuffer(answers[s], np.uint64)
+                count[p] = unpacked(answers[s])
         pairs, pair_of = np.unique(pair, return_inverse=True)
         code = np.zeros(len(pairs), np.int64)
         for s, p in enumerate(spread(*dealt(pairs, n_shards), n_shards)):
             if len(p):
-                code[p] = np.frombuffer(answers[n_shards + s], np.uint32)
+                code[p] = unpacked(answers[n_shards + s])
         both = np.where(code > 0, 10.0 ** ((code - 1) / STEPS), 0.0)[pair_of]
         own = count[which]
         base = (own + 1) / (n + v + 1)

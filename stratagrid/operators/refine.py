@@ -130,7 +130,7 @@ def feature_ic(df: DataFrame, features: list[str], outcome: str, least: int = 20
 
     daily = long.withColumns({"_a": rank("value"), "_b": rank(outcome)}).groupBy("feature", DATE).agg(F.count("*").alias("n"), F.when(F.min("value") < F.max("value"), correlation("_a", "_b")).alias("ic"))
     good = daily.where((F.col("n") >= least) & F.col("ic").isNotNull())
-    return good.groupBy("feature").agg(F.count("*").alias("days"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("dev"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("positive"))
+    return good.groupBy("feature").agg(F.count("*").alias("days"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("dev"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.avg(F.when(F.round("ic", 12) > 0, 1.0).otherwise(0.0)).alias("positive"))
 
 
 def selected(ic: DataFrame, top: int) -> DataFrame:

@@ -90,7 +90,7 @@ FEATS = ("score", "volume", "ret")
 UNPIVOT = HEAD + ", l AS (" + " UNION ALL ".join(f"SELECT entity, date, fwd, '{f}' AS feature, {f} AS value FROM m WHERE fwd IS NOT NULL AND {f} IS NOT NULL" for f in FEATS) + """),
 k AS (SELECT feature, date, value, rank() OVER (PARTITION BY feature, date ORDER BY value) + (count(*) OVER (PARTITION BY feature, date, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature, date ORDER BY fwd) + (count(*) OVER (PARTITION BY feature, date, fwd) - 1) / 2.0 AS b FROM l),
 d AS (SELECT feature, date, count(*) AS n, CASE WHEN min(value) < max(value) AND min(b) < max(b) THEN corr(a, b) END AS ic FROM k GROUP BY 1, 2),
-i AS (SELECT feature, count(*) AS days, avg(ic) AS mean, stddev_samp(ic) AS dev, avg(ic) / stddev_samp(ic) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive FROM d WHERE n >= 5 AND ic IS NOT NULL GROUP BY 1)"""
+i AS (SELECT feature, count(*) AS days, avg(ic) AS mean, stddev_samp(ic) AS dev, avg(ic) / stddev_samp(ic) AS icir, avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 ELSE 0 END) AS positive FROM d WHERE n >= 5 AND ic IS NOT NULL GROUP BY 1)"""
 
 
 @query("cx17_feature_ic", UNPIVOT + " SELECT feature, days, round(mean, 6) AS mean, round(dev, 6) AS dev, round(icir, 6) AS icir, round(positive, 6) AS positive FROM i")
