@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm.common import mixed
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each shard of an index of words or phrases.
-SHARD_BYTES = 20 << 20
+SHARD_BYTES = 12 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 
