@@ -7,8 +7,12 @@
    + RIDGE sum_d tokens_d / T (x_d - 1)^2  by projected gradient: T is the corpus' tokens, m_k the
    domain's share of them. In the norm that weights documents by their tokens the step 1 / (1 + RIDGE)
    is safe, and one step is x <- max(0, (1 - s RIDGE) x + s RIDGE - s sum_k p_k r_k / m_k), where r
-   are the K residuals. So an iteration is one aggregate of K sums, and x after any number of steps is
-   an expression of the document's own posteriors: nothing per document is kept or shuffled.
+   are the K residuals. So x after any number of steps is an expression of the document's own
+   posteriors: nothing per document is kept or shuffled.
+4. As x depends on posteriors alone, all documents are first summed up by posteriors, in CELLS equal
+   parts of each axis: a table whose rows have a bound whatever the corpus. An iteration is one
+   aggregate of K sums over it. Cells hold exact token sums and the mean posteriors of their documents,
+   so only where a cell's documents stop at rate 0 one by one does its sum differ from theirs at all.
 
 Domains without labelled rows have posterior 0, and their target goes to the others in proportion.
 
@@ -20,6 +24,7 @@ the input are not read (``mixed`` returns them).
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +37,10 @@ RIDGE = 1e-3
 STEPS = 60
 #: Largest share of the corpus' tokens by which a domain may miss its target when the steps end.
 CLOSE = 5e-4
+#: Parts of each posterior's axis; three domains have at most CELLS^2 cells.
+CELLS = 128
+#: Tasks that an iteration reads the cells with.
+CELL_TASKS = 4
 LEAST_VARIANCE = 1e-3
 #: Common insults that one feature looks for.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
@@ -98,53 +107,67 @@ def posteriors(model: dict[str, dict]) -> dict[str, Column]:
     return {k: v / total for k, v in each.items()}
 
 
-def stepped(x: Column, pull: dict[str, float]) -> Column:
-    """One projected step from rates ``x``; ``pull`` is step * residual / share of each domain."""
-    s = 1 / (1 + RIDGE)
-    move = F.lit(s * RIDGE)
-    for k, v in pull.items():
-        move = move - F.col(f"p_{k}") * v
-    return F.greatest(F.lit(0.0), x * (1 - s * RIDGE) + move)
+def rate(pulls: list[dict[str, float]]) -> Column:
+    """The rate after all steps from 1; ``pulls`` is step * residual / share of each domain, by step.
+
+    The steps are data that one fold reads, so the plan and its code stay the same however many there are.
+    """
+    if not pulls:
+        return F.lit(1.0)
+    names, s = list(pulls[0]), 1 / (1 + RIDGE)
+
+    def step(x: Column, pull: Column) -> Column:
+        move = F.lit(s * RIDGE)
+        for i, k in enumerate(names):
+            move = move - F.col(f"p_{k}") * pull[i]
+        return F.greatest(F.lit(0.0), x * (1 - s * RIDGE) + move)
+
+    steps = F.from_json(F.lit(json.dumps([[p[k] for k in names] for p in pulls])), "array<array<double>>")
+    return F.aggregate(steps, F.lit(1.0), step)
+
+
+def cells(members: DataFrame, names: list[str]) -> DataFrame:
+    """Tokens (``weight``) and mean posteriors by tokens (``p_*``) of all documents whose posteriors share a cell."""
+    weight = F.col("tokens").cast("double")
+    place = [F.floor(F.least(F.col(f"p_{k}"), F.lit(1.0)) * CELLS).alias(f"at_{k}") for k in names]
+    sums = members.where("tokens > 0").groupBy(*place).agg(F.sum(weight).alias("weight"), *(F.sum(weight * F.col(f"p_{k}")).alias(f"s_{k}") for k in names))
+    return cut(sums.select("weight", *((F.col(f"s_{k}") / F.col("weight")).alias(f"p_{k}") for k in names)).coalesce(CELL_TASKS))
 
 
 def solved(members: DataFrame, names: list[str], targets: dict[str, float]) -> list[dict[str, float]]:
     """The pulls of all steps for rows with ``tokens`` and posteriors ``p_*``."""
-    weight = F.col("tokens").cast("double")
-    sums = lambda x: [F.sum(x * weight * F.col(f"p_{k}")).alias(k) for k in names]
-    now = members.agg(F.sum(weight).alias("_total"), *sums(F.lit(1.0))).first()
+    grid = cells(members, names)
+
+    def sums(pulls):
+        held = grid.select("*", rate(pulls).alias("x"))
+        return held.agg(F.sum("weight").alias("_total"), *(F.sum(F.col("x") * F.col("weight") * F.col(f"p_{k}")).alias(k) for k in names)).first()
+
+    now = sums([])
     total = now["_total"] or 0.0
     if not total:
         return []
     share = {k: max(now[k] / total, 1e-9) for k in names}
     wanted = sum(targets.get(k, 0.0) for k in names) or 1.0
     goal = {k: targets.get(k, 0.0) / wanted for k in names}
-    x, pulls = F.lit(1.0), []
+    pulls = []
     residual = {k: now[k] / total - goal[k] for k in names}
     while len(pulls) < STEPS and max(abs(r) for r in residual.values()) > CLOSE:
         pulls.append({k: residual[k] / share[k] / (1 + RIDGE) for k in names})
-        x = stepped(x, pulls[-1])
-        now = members.agg(*sums(x)).first()
+        now = sums(pulls)
         residual = {k: now[k] / total - goal[k] for k in names}
     return pulls
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[dict, list, DataFrame]:
-    """The classifier, the pulls of all steps and the documents' features and posteriors (cut)."""
+    """The classifier, the pulls of all steps and the documents' posteriors, from features that are cut."""
     features = cut(featured(docs))
     model = fitted(features, labels)
     if not model:
         return model, [], features
-    members = cut(features.select("doc_id", "fraction", "tokens", *(p.alias(f"p_{k}") for k, p in posteriors(model).items())))
+    members = features.select("doc_id", "fraction", "tokens", *(p.alias(f"p_{k}") for k, p in posteriors(model).items()))
     return model, solved(members, list(model), targets), members
 
 
-def rate(pulls: list[dict[str, float]]) -> Column:
-    x = F.lit(1.0)
-    for p in pulls:
-        x = stepped(x, p)
-    return x
-
-
 def copies(rate_: Column) -> Column:
     """A whole number of copies with that expectation."""
     return (F.floor(rate_) + F.when(F.col("fraction") < rate_ - F.floor(rate_), 1).otherwise(0)).cast("int")
@@ -166,5 +189,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     fraction = (F.xxhash64(F.lit(11), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
     known = held.select("_row", fraction.alias("fraction"), *measures(F.col("text")))
     scored = known.select("_row", "fraction", *(p.alias(f"p_{k}") for k, p in posteriors(model).items())) if model else known.select("_row", "fraction")
-    times = scored.withColumn("_n", copies(rate(pulls))).where("_n > 0")
+    times = scored.withColumn("_rate", rate(pulls)).withColumn("_n", copies(F.col("_rate"))).where("_n > 0")
     return times.select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
