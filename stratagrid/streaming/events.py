@@ -16,9 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Parquet files of events as they appear in a folder."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+def read(spark: SparkSession, path: str, files: int | None = 1) -> DataFrame:
+    """Parquet files of events as they appear in a folder, so many a batch; ``None``: all that are there.
+
+    Files come in order of their modification time, so rows of a file that was written late may be behind
+    the watermark if files are read one by one.
+    """
+    reader = spark.readStream.schema(SCHEMA)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
