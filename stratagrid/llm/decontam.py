@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a run of SPAN words of which a fixed mask looks at some: two runs that differ only where
-the mask is blind have the same seed, so a substituted word hides a passage from some masks but not
-from all. Seeds of the benchmark and of the documents are joined, and around each hit the two texts
+the mask is blind have the same seed. Of an overlap of REACH words with any SPARE of them substituted,
+at least one mask has a seed at some start that looks at none of these (a test goes through all
+placements). Seeds of the benchmark and of the documents are joined, and around each hit the two texts
 are compared word by word on the hit's diagonal: REACH words of which at most SPARE differ (a shorter
 item: nearly all its words) make an overlap.
 
@@ -10,9 +11,10 @@ Documents only send seeds that a bitmap of the benchmark's seeds holds; its size
 it can be broadcast whatever the benchmark's size, and a false bit only costs a row that the join
 drops. The join itself is left to Spark. No document's text is shuffled.
 
-Words are lower-cased (A-Z) and freed of ASCII punctuation. Items shorter than SPAN are sought as a
-whole, by an unmasked run of their length; items of fewer than LEAST words are not sought, as they
-can't be told from chance.
+Words are lower-cased (A-Z) and freed of ASCII punctuation. Items of up to SPAN words are sought as a
+whole, by masks of their length: an unmasked one where no word may differ, else ones that are blind at
+some third of the item each. Items of fewer than LEAST words are not sought, as they can't be told
+from chance.
 
 Defined results: null and empty texts hold nothing; repeated rows with one id give one row; a null id
 is an id of its own; an empty table, or an empty benchmark, gives an empty table; other columns of the
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm.common import chunks, hash_words, mixed, raw, starts_of
 
-MASKS = ("1110101101", "1101110011", "1011011101", "1111010111")
+MASKS = ("1110101101", "1101110011", "1011011101", "1111010111", "1100111101")
 SPAN = 10
 #: Words that are compared, and how many of them may differ.
 REACH, SPARE = 13, 2
@@ -36,6 +38,8 @@ LEAST = 5
 BITS = 25
 SIDE = REACH - SPAN
 WIDE = SPAN + 2 * SIDE
+#: The part of a short item's words that may differ is its length over this.
+SHORT = 8
 PUNCTUATION = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
@@ -43,6 +47,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(None, PUNCTUATION).split()
 
 
+def whole_masks(n: int) -> list[str]:
+    """Masks for items of ``n`` <= SPAN words: each place of a word that may differ is one that some mask is blind to."""
+    if n < SHORT:
+        return ["1" * n]
+    return ["".join("0" if k * n <= 3 * i < (k + 1) * n else "1" for i in range(n)) for k in range(3)]
+
+
 def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     """The seed at each start in ``h``: a hash of the words that the mask looks at."""
     n = len(h) - len(mask) + 1
@@ -86,10 +97,11 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
                     g = seeds(h, mask, k)
                     at = np.flatnonzero(doc[: len(g)] == doc[SPAN - 1 :]) if len(g) else np.zeros(0, np.int64)
                     found.append((g[at], at))
-                for n in range(LEAST, SPAN):
+                for n in range(LEAST, SPAN + 1):
                     at = begin[:-1][counts == n]
-                    g = seeds(h, "1" * n, n * 1000)
-                    found.append((g[at], at))
+                    for k, mask in enumerate(whole_masks(n)):
+                        g = seeds(h, mask, n * 1000 + k)
+                        found.append((g[at], at))
                 g, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
                 if len(g):
                     d = doc[at]
@@ -112,7 +124,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cells = (
         known.select(slot.alias("slot"), "length")
         .groupBy(F.shiftright("slot", 5).alias("cell"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 31))")).alias("bits"), F.collect_set(F.when(F.col("length") < SPAN, F.col("length"))).alias("short"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 31))")).alias("bits"), F.collect_set(F.when(F.col("length") <= SPAN, F.col("length"))).alias("short"))
         .collect()  # at most 2^(BITS - 5) rows
     )
     bitmap = np.zeros(1 << (BITS - 5), np.uint32)
@@ -127,7 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for part in chunks(batch):
                 h, counts, begin, doc = prepared(part)
                 found = []
-                for mask, salt, span in [(m, k, SPAN) for k, m in enumerate(MASKS)] + [("1" * n, n * 1000, n) for n in short]:
+                for mask, salt, span in [(m, k, SPAN) for k, m in enumerate(MASKS)] + [(m, n * 1000 + k, n) for n in short for k, m in enumerate(whole_masks(n))]:
                     g = seeds(h, mask, salt)
                     slots = (g >> np.uint64(64 - BITS)).astype(np.int64)
                     at = np.flatnonzero((bits[slots >> 5] >> (slots & 31).astype(np.uint32)) & np.uint32(1))
@@ -153,7 +165,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best = F.greatest(*(total(F.lit(s + 1), F.lit(REACH)) for s in range(SIDE + 1)))
     begin = F.greatest(F.lit(SIDE) - F.col("pos"), F.lit(0)) + 1
     whole = total(begin, F.least(F.col("length"), F.lit(WIDE + 1) - begin))
-    ok = F.when(F.col("length") < REACH, whole >= F.col("length") - F.floor(F.col("length") / 8)).otherwise(best >= REACH - SPARE)
+    ok = F.when(F.col("length") < REACH, whole >= F.col("length") - F.floor(F.col("length") / SHORT)).otherwise(best >= REACH - SPARE)
     return both.withColumn("same", same).where(ok).select("doc_id", "key", "item_id", "start")
 
 

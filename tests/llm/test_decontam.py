@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from stratagrid.llm import decontam
 from stratagrid.session import table
@@ -62,3 +63,23 @@ def test_odd_rows(spark, odd, empty):
     assert decontam.contaminated(empty, items).count() == 0
     assert decontam.contaminated(odd, items.limit(0)).count() == 0
     assert decontam.clean(odd, items.limit(0)).count() == odd.count()
+
+
+def test_every_placement_of_substitutions(spark):
+    """Items of all lengths from LEAST on, with as many words substituted as may be, wherever they stand."""
+    items, docs = [], []
+    for n in range(decontam.LEAST, 17):
+        item = [f"i{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for places in combinations(range(n), decontam.SPARE if n >= decontam.REACH else n // 8):
+            docs.append((len(docs), " ".join(["before", "it", *(f"other{i}" if i in places else w for i, w in enumerate(item)), "and", "after"]), n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    got = {r.doc_id: r.item_ids for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert [d for d in docs if got.get(d[0]) != [d[2]]] == []
+
+
+def test_short_items_spare_no_more(spark):
+    docs = [(1, "x b c d e f g h"), (2, "x y c d e f g h"), (3, "x b c d e f g"), (4, "a b c d e f g h i y"), (5, "x b c d e f g h i y")]
+    items = [(7, "a b c d e f g"), (8, "a b c d e f g h"), (10, "a b c d e f g h i j")]
+    got = {r.doc_id: r.item_ids for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {1: [8], 4: [7, 8, 10], 5: [8]}
