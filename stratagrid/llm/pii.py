@@ -13,6 +13,12 @@ tries again inside a run it has read: a card's digits are matched as the whole r
 of (14 to 19 digits, no digit before or behind), which is what matching greedily and dropping other
 lengths gives.
 
+An account number's end can't be told by an expression, as words in capitals and numbers may follow.
+Its expression only finds starts (a match of no width, so starts may lie within each other's reach)
+and captures all that could belong to it. Of the ends in it that no letter or digit follows, those of
+the country's length count; for a country that ``LENGTHS`` lacks, those that leave the number compact
+or in groups of four, and the farthest. Mod-97 decides, and the longest number that passes is the span.
+
 Defined results: a null text is empty; texts without a match have counts 0, the digest of no bytes
 and an empty ``spans``; repeated rows each get a row; an empty table gives an empty table; other
 columns of the input are not read.
@@ -32,9 +38,15 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters of an account number by country: the registry of ISO 13616.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: What a text must hold at least before the expression is tried on it.
 CHEAP = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -74,6 +86,20 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def account_in(captured: Column) -> Column:
+    """The longest account number that a captured run begins with; null if there is none."""
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    code = F.left(captured, F.lit(2))
+    length = F.coalesce(*(F.when(code.isin(codes.split()), n) for n, codes in LENGTHS.items()))
+    closed = lambda e: F.substr(captured, e + 1, F.lit(1)).isin("", " ") & (F.substr(captured, e, F.lit(1)) != " ")
+    farthest = F.length(F.regexp_extract(captured, "^[A-Z0-9 ]*(?![A-Za-z0-9])", 0))
+    regular = lambda x: x.rlike("^(?:[A-Z0-9]+|[A-Z0-9]{4}(?: [A-Z0-9]{4})*(?: [A-Z0-9]{1,4})?)$") | (F.length(x) == farthest)
+    fits = lambda x: F.when(length.isNotNull(), F.length(bare(x)) == length).otherwise(F.length(bare(x)).between(15, 34) & regular(x))
+    ends = F.filter(F.sequence(F.length(captured), F.lit(15)), closed)
+    able = F.filter(F.transform(ends, lambda e: F.left(captured, e)), lambda x: ~x.rlike("[a-z]") & fits(x))
+    return F.get(F.filter(able, lambda x: mod97(bare(x))), F.lit(0))
+
+
 def confirmed(kind: str, found: Column) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     if kind == "ip":
@@ -82,33 +108,51 @@ def confirmed(kind: str, found: Column) -> Column:
         return luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    if kind == "iban":
-        return mod97(F.replace(found, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
 def proposals(kind: str, text: Column) -> Column:
     """An array of each match of a kind with the length of the gap before it, its own, its check and its score."""
+    if kind == "iban":
+        return accounts(text)
     pattern = F.lit(PATTERNS[kind])
     cheap = CHEAP[kind](text)
     none = F.array().cast(EMPTY)
     found = F.when(cheap, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none)
     gaps = F.when(cheap, F.split(text, PATTERNS[kind], -1)).otherwise(none)
     gap = lambda i: F.coalesce(F.get(gaps, i), F.lit(""))
-    near = lambda i: F.lower(F.concat(F.right(gap(i), F.lit(NEAR)), F.lit(" "), F.left(gap(i + 1), F.lit(NEAR))))
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            i.alias("i"),
-            F.length(gap(i)).cast("long").alias("gap"),
-            F.length(m).cast("long").alias("n"),
-            confirmed(kind, m).alias("ok"),
-            (F.lit(PRIOR[kind]) + F.when(near(i).rlike(CONTEXT[kind]), LIFT).otherwise(0.0)).alias("score"),
-        ),
+    return F.transform(found, lambda m, i: proposal(kind, i, F.length(gap(i)), F.length(m), confirmed(kind, m), gap(i), gap(i + 1)))
+
+
+def proposal(kind: str, i: Column, gap: Column, n: Column, ok: Column, before: Column, behind: Column) -> Column:
+    near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(behind, F.lit(NEAR))))
+    return F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"),
+        i.alias("i"),
+        gap.cast("long").alias("gap"),
+        n.cast("long").alias("n"),
+        ok.alias("ok"),
+        (F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), LIFT).otherwise(0.0)).alias("score"),
     )
 
 
+def accounts(text: Column) -> Column:
+    """``proposals`` of account numbers: a gap is counted from the start before, less what that one's number took.
+
+    A blank is put before the text, as ``split`` makes no gap of a match of no width at the very start.
+    """
+    kind, none = "iban", F.array().cast(EMPTY)
+    cheap = CHEAP[kind](text)
+    runs = F.when(cheap, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))).otherwise(none)
+    found = F.transform(runs, account_in)
+    gaps = F.when(cheap, F.split(F.concat(F.lit(" "), text), PATTERNS[kind], -1)).otherwise(none)
+    gap = lambda i: F.coalesce(F.get(gaps, i), F.lit(""))
+    n = lambda m: F.coalesce(F.length(m), F.lit(0))
+    back = lambda i: F.when(i > 0, n(F.get(found, i - 1))).otherwise(1)
+    behind = lambda i, m: F.substr(gap(i + 1), n(m) + 1)
+    return F.transform(found, lambda m, i: proposal(kind, i, F.length(gap(i)) - back(i), n(m), m.isNotNull(), gap(i), behind(i, m)))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, row (of the input), kind, start, end, score of every accepted span; one row of nulls for a text without."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

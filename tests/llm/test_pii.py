@@ -75,3 +75,34 @@ def test_added_kinds(spark):
     assert rows[0].spans == "iban:11:38" and rows[1].n_iban == 0
     assert rows[2].n_ssn == 1 and rows[3].n_ssn == 0
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows.values())
+
+
+GB, DE = "GB82WEST12345698765432", "DE89370400440532013000"
+FOLLOWED = {
+    f"{GB} Please pay": [(0, 22)],
+    f"{DE} BIC COBADEFF": [(0, 22)],
+    f"{DE} 2024 due": [(0, 22)],
+    "to DE89 3704 0044 0532 0130 00 BIC COBADEFF": [(3, 30)],
+    f"\U0001f600 {DE} {GB} A": [(2, 24), (25, 47)],
+    f"XX12 3456 {DE} {GB}, {GB}": [(10, 32), (33, 55), (57, 79)],
+    f"{DE}4 and {DE}x": [],
+    f"{DE} " * 3: [(0, 22), (23, 45), (46, 68)],
+    "NO93 8601 1117 947 X": [(0, 18)],
+}
+
+
+def test_accounts_end_where_the_number_ends(spark):
+    texts = list(FOLLOWED)
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {t: ",".join(f"iban:{a}:{b}" for a, b in v) for t, v in FOLLOWED.items()}
+    assert {t: ",".join(s for s in rows[i].spans.split(",") if s.startswith("iban")) for i, t in enumerate(texts)} == want
+
+
+def test_accounts_of_unlisted_countries(spark):
+    body = "12345678901234"
+    check = 98 - int(body + "3535" + "00") % 97
+    number = f"ZZ{check:02d}{body}"
+    grouped = " ".join(number[i : i + 4] for i in range(0, len(number), 4))
+    texts = [f"{number} Please", f"{grouped} BIC COBADEFF", f"{number}."]
+    got = [r.spans.split(",") for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [[s for s in g if s.startswith("iban")] for g in got] == [["iban:0:18"], [f"iban:0:{len(grouped)}"], ["iban:0:18"]]
