@@ -20,8 +20,8 @@ def clean(x: Column | str) -> Column:
 
 
 def is_noise(x: Column | str, least: int = 5) -> Column:
-    """Too short, or nothing but symbols."""
-    return (F.length(col(x)) < least) | col(x).rlike(r"^[\W_]*$")
+    """Too short, or without a letter or digit of any script."""
+    return (F.length(col(x)) < least) | ~col(x).rlike(r"[\p{L}\p{N}]")
 
 
 def lexicon_score(x: Column | str, positive=POSITIVE, negative=NEGATIVE) -> Column:

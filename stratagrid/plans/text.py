@@ -42,6 +42,11 @@ def noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z")).select("doc_id", t.is_noise("text").alias("noise"))
 
 
+@query("sf05_noise_all", "SELECT doc_id, length(text) < 5 OR regexp_full_match(text, '[^\\pL\\pN]*') AS noise FROM documents")
+def noise_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.is_noise("text").alias("noise"))
+
+
 @query("sf04_decay", POSTS + " SELECT doc_id, round(exp(-ln(2) / 7 * greatest(date_diff('day', date, (SELECT max(date) FROM posts)), 0)), 6) AS weight FROM posts")
 def decay(spark, sf_dir):
     p = posts(spark, sf_dir)

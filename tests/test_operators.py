@@ -104,3 +104,9 @@ def test_alignment_after_the_close(spark):
     posts = spark.createDataFrame([(1, datetime.datetime(2024, 1, 5, 14, 59)), (2, datetime.datetime(2024, 1, 5, 15, 1)), (3, datetime.datetime(2024, 1, 6, 16, 0))], "k int, ts timestamp")
     cal = spark.createDataFrame([(datetime.date(2024, 1, d),) for d in (4, 5, 8, 9)], "date date")
     assert {r.k: r.aligned_date.day for r in text.aligned(posts, cal).collect()} == {1: 5, 2: 8, 3: 8}
+
+
+def test_letters_of_any_script_are_no_noise(spark):
+    texts = ["Привет мир", "καλημέρα", "你好世界再见", "١٢٣٤٥٦", "...\n***", "_____", "—–…¡¿", "abc", "?!?!?a", None]
+    got = [r.noise for r in spark.createDataFrame(list(enumerate(texts)), "k int, text string").orderBy("k").select(text.is_noise("text").alias("noise")).collect()]
+    assert got == [False, False, False, False, True, True, True, True, False, None]
