@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only on a local master, where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratagrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratagrid-"))
     return sc.getCheckpointDir()
 
 
@@ -37,3 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: replicated, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read from there: like ``cut``, but later scans read only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stored-" in f}:
+            at = session._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
