@@ -9,10 +9,12 @@
    is safe, and one step is x <- max(0, (1 - s RIDGE) x + s RIDGE - s sum_k p_k r_k / m_k), where r
    are the K residuals. So x after any number of steps is an expression of the document's own
    posteriors: nothing per document is kept or shuffled.
-4. As x depends on posteriors alone, all documents are first summed up by posteriors, in CELLS equal
-   parts of each axis: a table whose rows have a bound whatever the corpus. An iteration is one
-   aggregate of K sums over it. Cells hold exact token sums and the mean posteriors of their documents,
-   so only where a cell's documents stop at rate 0 one by one does its sum differ from theirs at all.
+4. As x depends on posteriors alone, the first steps are taken on a summary: documents added up by
+   posteriors, in CELLS equal parts of each axis, a table whose rows have a bound whatever the corpus.
+   The steps then go on over the documents themselves until every domain's exact residual is at most
+   CLOSE, so the summary only saves passes and decides nothing. Each step is one aggregate of K sums.
+5. Rows are stored once with their features, so a text is read once, and the steps, the rates and the
+   drawing of copies read stored numbers. Steps and posteriors are bound once a row (see ``rate``).
 
 Domains without labelled rows have posterior 0, and their target goes to the others in proportion.
 
@@ -26,14 +28,16 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.session import cut
+from stratagrid.session import cut, stored
 
 TARGETS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
 RIDGE = 1e-3
+#: Steps on the summary, and on the documents, at most; ``solved`` warns if a target is then still missed.
 STEPS = 60
 #: Largest share of the corpus' tokens by which a domain may miss its target when the steps end.
 CLOSE = 5e-4
@@ -48,11 +52,11 @@ FEATURES = ("f_length", "f_word", "f_symbol", "f_shout", "f_lines", "f_insult")
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, a fraction in [0, 1) drawn from the row, tokens and the features of each text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), ((F.xxhash64(F.lit(11), "doc_id", text).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))).alias("fraction"))
-    rows = rows.select("doc_id", "fraction", *measures(F.col("text")))
-    return rows
+    """Each row as ``row``, with doc_id, a fraction in [0, 1) drawn from the row, tokens and the features of its text."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    fraction = F.xxhash64(F.lit(11), "row.doc_id", text).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    return held.select("row", F.col("row.doc_id").alias("doc_id"), fraction.alias("fraction"), *measures(text))
 
 
 def measures(text: Column) -> list[Column]:
@@ -90,8 +94,14 @@ def fitted(features: DataFrame, labels: DataFrame) -> dict[str, dict]:
     return {k: {"share": r["n"] / total, **{f: (r[f"mean_{f}"], max(r[f"var_{f}"], LEAST_VARIANCE)) for f in FEATURES}} for k, r in sorted(found.items())}
 
 
-def posteriors(model: dict[str, dict]) -> dict[str, Column]:
-    """The posterior of each domain as an expression of the features."""
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: as the element of a one-element array. The optimizer would
+    otherwise put the whole expression wherever ``use`` names it, and inside a fold at each of its steps."""
+    return F.transform(F.array(value), use)[0]
+
+
+def posteriors(model: dict[str, dict]) -> Column:
+    """The posteriors of all domains, a struct, as an expression of the features."""
     logs = {}
     for k, m in model.items():
         term = F.lit(math.log(m["share"]))
@@ -99,12 +109,11 @@ def posteriors(model: dict[str, dict]) -> dict[str, Column]:
             mean, var = m[f]
             term = term - (F.col(f) - mean) * (F.col(f) - mean) / (2 * var) - 0.5 * math.log(var)
         logs[k] = term
-    top = F.greatest(*logs.values()) if len(logs) > 1 else next(iter(logs.values()))
-    each = {k: F.exp(v - top) for k, v in logs.items()}
-    total = F.lit(0.0)
-    for v in each.values():
-        total = total + v
-    return {k: v / total for k, v in each.items()}
+
+    def shares(v: Column) -> Column:
+        return F.struct(*((1 / sum((F.exp(v[j] - v[k]) for j in model if j != k), F.lit(1.0))).alias(k) for k in model))
+
+    return bound(F.struct(*(v.alias(k) for k, v in logs.items())), shares)
 
 
 def rate(pulls: list[dict[str, float]]) -> Column:
@@ -115,15 +124,18 @@ def rate(pulls: list[dict[str, float]]) -> Column:
     if not pulls:
         return F.lit(1.0)
     names, s = list(pulls[0]), 1 / (1 + RIDGE)
+    steps = F.from_json(F.lit(json.dumps([[p[k] for k in names] for p in pulls])), "array<array<double>>")
 
-    def step(x: Column, pull: Column) -> Column:
-        move = F.lit(s * RIDGE)
-        for i, k in enumerate(names):
-            move = move - F.col(f"p_{k}") * pull[i]
-        return F.greatest(F.lit(0.0), x * (1 - s * RIDGE) + move)
+    def folded(p: Column) -> Column:
+        def step(x: Column, pull: Column) -> Column:
+            move = F.lit(s * RIDGE)
+            for i, k in enumerate(names):
+                move = move - p[k] * pull[i]
+            return F.greatest(F.lit(0.0), x * (1 - s * RIDGE) + move)
 
-    steps = F.from_json(F.lit(json.dumps([[p[k] for k in names] for p in pulls])), "array<array<double>>")
-    return F.aggregate(steps, F.lit(1.0), step)
+        return F.aggregate(steps, F.lit(1.0), step)
+
+    return bound(F.struct(*(F.col(f"p_{k}").alias(k) for k in names)), folded)
 
 
 def cells(members: DataFrame, names: list[str]) -> DataFrame:
@@ -134,38 +146,55 @@ def cells(members: DataFrame, names: list[str]) -> DataFrame:
     return cut(sums.select("weight", *((F.col(f"s_{k}") / F.col("weight")).alias(f"p_{k}") for k in names)).coalesce(CELL_TASKS))
 
 
-def solved(members: DataFrame, names: list[str], targets: dict[str, float]) -> list[dict[str, float]]:
-    """The pulls of all steps for rows with ``tokens`` and posteriors ``p_*``."""
-    grid = cells(members, names)
+def reached(rows: DataFrame, weight: Column, names: list[str], pulls: list[dict[str, float]]) -> dict[str, float]:
+    """``_total`` weight of ``rows`` and each domain's expected weight at the rates after ``pulls``."""
+    held = rows.select(weight.alias("weight"), *(f"p_{k}" for k in names), rate(pulls).alias("x"))
+    return held.agg(F.sum("weight").alias("_total"), *(F.sum(F.col("x") * F.col("weight") * F.col(f"p_{k}")).alias(k) for k in names)).first().asDict()
 
-    def sums(pulls):
-        held = grid.select("*", rate(pulls).alias("x"))
-        return held.agg(F.sum("weight").alias("_total"), *(F.sum(F.col("x") * F.col("weight") * F.col(f"p_{k}")).alias(k) for k in names)).first()
 
-    now = sums([])
-    total = now["_total"] or 0.0
+def solved(members: DataFrame, names: list[str], targets: dict[str, float]) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """The pulls of all steps for rows with ``tokens`` and posteriors ``p_*``, and each domain's residual over the rows themselves."""
+    every, tokens = members.where("tokens > 0"), F.col("tokens").cast("double")
+    start = reached(every, tokens, names, [])
+    total = start["_total"] or 0.0
     if not total:
-        return []
-    share = {k: max(now[k] / total, 1e-9) for k in names}
+        return [], {}
+    share = {k: max(start[k] / total, 1e-9) for k in names}
     wanted = sum(targets.get(k, 0.0) for k in names) or 1.0
     goal = {k: targets.get(k, 0.0) / wanted for k in names}
-    pulls = []
-    residual = {k: now[k] / total - goal[k] for k in names}
-    while len(pulls) < STEPS and max(abs(r) for r in residual.values()) > CLOSE:
-        pulls.append({k: residual[k] / share[k] / (1 + RIDGE) for k in names})
-        now = sums(pulls)
-        residual = {k: now[k] / total - goal[k] for k in names}
-    return pulls
-
-
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[dict, list, DataFrame]:
-    """The classifier, the pulls of all steps and the documents' posteriors, from features that are cut."""
-    features = cut(featured(docs))
+    pulls: list[dict[str, float]] = []
+
+    def descend(rows: DataFrame, weight: Column, close: float) -> dict[str, float]:
+        for left in range(STEPS, -1, -1):
+            now = reached(rows, weight, names, pulls)
+            residual = {k: now[k] / total - goal[k] for k in names}
+            if not left or max(abs(r) for r in residual.values()) <= close:
+                return residual
+            pulls.append({k: residual[k] / share[k] / (1 + RIDGE) for k in names})
+
+    descend(cells(members, names), F.col("weight"), CLOSE / 2)
+    residual = descend(every, tokens, CLOSE)
+    if max(abs(r) for r in residual.values()) > CLOSE:
+        warnings.warn(f"mixing ended with residuals {residual}", stacklevel=2)
+    return pulls, residual
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, list, dict[str, float], list[str]]:
+    """The stored rows with their posteriors, the pulls of all steps, the residuals, and the domains that have labelled rows."""
+    features = stored(featured(docs))
     model = fitted(features, labels)
     if not model:
-        return model, [], features
-    members = features.select("doc_id", "fraction", "tokens", *(p.alias(f"p_{k}") for k, p in posteriors(model).items()))
-    return model, solved(members, list(model), targets), members
+        return features, [], {}, []
+    scored = features.select("row", "doc_id", "fraction", "tokens", posteriors(model).alias("p"))
+    members = scored.select("row", "doc_id", "fraction", "tokens", *(F.col("p")[k].alias(f"p_{k}") for k in model))
+    pulls, residual = solved(members, list(model), targets)
+    return members, pulls, residual, list(model)
+
+
+def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """How far each domain's share of the tokens is from its target at the fitted rates, over all documents: domain, residual and steps."""
+    _, pulls, residual, _ = fit(docs, labels, targets)
+    return docs.sparkSession.createDataFrame([(k, v, len(pulls)) for k, v in residual.items()], "domain string, residual double, steps int")
 
 
 def copies(rate_: Column) -> Column:
@@ -175,19 +204,14 @@ def copies(rate_: Column) -> Column:
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """Per document: doc_id, tokens, posteriors, rate and whole copies."""
-    model, pulls, members = fit(docs, labels, targets)
-    known = [F.col(f"p_{k}") if k in model else F.lit(0.0).alias(f"p_{k}") for k in TARGETS]
+    members, pulls, _, names = fit(docs, labels, targets)
+    known = [F.col(f"p_{k}") if k in names else F.lit(0.0).alias(f"p_{k}") for k in TARGETS]
     out = members.select("doc_id", "tokens", "fraction", *known).withColumn("rate", rate(pulls))
     return out.withColumn("copies", copies(F.col("rate"))).drop("fraction")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents, each as often as its rate says. Rates are expressions of a row, so no text is shuffled."""
-    model, pulls, _ = fit(docs, labels, targets)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text.alias("text"))
-    fraction = (F.xxhash64(F.lit(11), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    known = held.select("_row", fraction.alias("fraction"), *measures(F.col("text")))
-    scored = known.select("_row", "fraction", *(p.alias(f"p_{k}") for k, p in posteriors(model).items())) if model else known.select("_row", "fraction")
-    times = scored.withColumn("_rate", rate(pulls)).withColumn("_n", copies(F.col("_rate"))).where("_n > 0")
-    return times.select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
+    """The documents, each as often as its rate says. Rates are expressions of a stored row, so no text is shuffled."""
+    members, pulls, _, _ = fit(docs, labels, targets)
+    times = members.withColumn("n", copies(rate(pulls))).where("n > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

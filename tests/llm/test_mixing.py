@@ -16,17 +16,30 @@ def test_targets_are_met(spark, sf):
 
 
 def test_same_as_numpy(spark, sf):
-    """The rates are those of projected gradient steps on the whole vector."""
-    _, pulls, members = mixing.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    rows = members.withColumn("rate", mixing.rate(pulls)).toPandas()
+    """The rates are those of projected gradient steps on the whole vector, and the residual is that of all documents."""
+    members, pulls, residual, _ = mixing.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    rows = members.withColumn("rate", mixing.rate(pulls)).drop("row").toPandas()
     p = rows[["p_good", "p_low", "p_toxic"]].to_numpy()
     w = rows.tokens.to_numpy(float)
     goal, m = np.array([mixing.TARGETS[k] for k in ("good", "low", "toxic")]), (w[:, None] * p).sum(0) / w.sum()
     x, s = np.ones(len(w)), 1 / (1 + mixing.RIDGE)
-    for _ in pulls:
-        r = (x * w) @ p / w.sum() - goal
-        x = np.maximum(0, x - s * (p @ (r / m) + mixing.RIDGE * (x - 1)))
+    for pull in pulls:  # the residuals of a step are those of the rows it was taken on: the summary's or the documents'
+        x = np.maximum(0, x - s * mixing.RIDGE * (x - 1) - p @ np.array([pull[k] for k in ("good", "low", "toxic")]))
     assert np.allclose(x, rows.rate, atol=1e-6)
+    r = (x * w) @ p / w.sum() - goal
+    assert np.allclose(r, [residual[k] for k in ("good", "low", "toxic")], atol=1e-9) and np.abs(r).max() <= mixing.CLOSE
+    # no other nonnegative rates are nearer: every rate obeys the optimality conditions of the fitted problem
+    g = p @ (r / m) + mixing.RIDGE * (x - 1)
+    assert g[x == 0].min(initial=0) > -1e-2 and np.abs(g[x > 0]).max() < 1e-2
+    first = {k: v for k, v in zip(("good", "low", "toxic"), (w @ p / w.sum() - goal) / m / (1 + mixing.RIDGE))}
+    assert all(abs(pulls[0][k] - v) < 1e-3 for k, v in first.items())  # the summary's first step is the documents'
+
+
+def test_plan_reads_stored_numbers(spark, sf):
+    """No text is parsed again for the rates, and the plan doesn't grow with the steps."""
+    plan = mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "labels"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "translate" not in plan
+    assert plan.count("EXP(") < 100 and len(plan) < 60_000
 
 
 def test_documents_repeat_as_often_as_their_copies(spark, sf):
