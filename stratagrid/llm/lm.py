@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.blocks import NULL_ID, blocked, dealt, ids, spread
-from stratagrid.llm.common import hash_words, mixed, starts_of
+from stratagrid.llm.common import hash_words, mixed, packed, planes, starts_of, unpacked, unplaned
 
 #: Weight of the back-off to single words, in pairs.
 MU = 400.0
@@ -129,25 +129,6 @@ class Trie:
         return out
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes each that hold the largest; the first byte tells how many."""
-    size = np.min_scalar_type(int(numbers.max())).itemsize if len(numbers) else 1
-    return bytes([size]) + numbers.astype(f"u{size}").tobytes()
-
-
-def unpacked(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, f"u{held[0]}", offset=1)
-
-
-def planes(rising: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, first all their lowest bytes, and so on: the highest are zeros, which compress."""
-    return np.diff(rising, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unplaned(held: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def tokens(table: pa.Table):
     """Ids, training flags, lengths and token hashes of a block, and the pair key of each token and the one before it."""
     held = sorted(zip((NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()), table.column("train").to_pylist(), table.column("text").to_pylist(), strict=True))
