@@ -11,10 +11,10 @@ from stratagrid.functions.windows import col
 
 def average_rank(x: Column | str, *by: str, descending: bool = False) -> Column:
     """1-based rank within ``by``, ties sharing their mean; NULL for NULL."""
-    v = col(x)
-    order = F.desc_nulls_last(x) if descending else F.asc_nulls_last(x)
-    peers = F.count(v).over(Window.partitionBy(*by, v))
-    return F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order)) + (peers - 1) / 2.0)
+    v, all_ = col(x), Window.partitionBy(*by)
+    up, down = F.rank().over(all_.orderBy(F.asc_nulls_last(x))), F.rank().over(all_.orderBy(F.desc_nulls_last(x)))
+    less = down - up if descending else up - down  # from both ends: ties need no partitioning of their own
+    return F.when(v.isNotNull(), (F.count(v).over(all_) + 1 + less) / 2.0)
 
 
 #: Fixed: coefficients of Acklam's rational approximation of the normal quantile.

@@ -72,9 +72,10 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def rounded(*names: str, places: int = 6):
+def rounded(*names: str, places: int | dict[str, int] = 6):
     """For ``select``: entity, date and the named columns rounded, so that engines can be compared."""
-    return [ENTITY, DATE, *(F.round(n, places).alias(n) for n in names)]
+    at = places.get if isinstance(places, dict) else lambda n, other: places
+    return [ENTITY, DATE, *(F.round(n, at(n, 6)).alias(n) for n in names)]
 
 
 def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:

@@ -51,10 +51,10 @@ def size_neutral(df: DataFrame, x: str, size: str, name: str = "residual", least
 
 
 def rank_normal(x: str) -> Column:
-    """Average rank by date, mapped to normal scores; 0 for a single name."""
+    """Average rank by date, mapped to normal scores; 0 for a single name, NULL for NULL."""
     n = F.count(F.col(x)).over(per_date()).cast("double")
     p = F.greatest(1 / (n + 1), F.least(1 - 1 / (n + 1), (average_rank(x, DATE) - 0.5) / n))
-    return F.when(n < 2, F.lit(0.0)).otherwise(normal_quantile(p))
+    return F.when(n < 2, F.lit(0.0)).when(F.col(x).isNotNull(), normal_quantile(p))
 
 
 def plain_z(x: str) -> Column:

@@ -85,19 +85,21 @@ def best_posts(posts: DataFrame, keys: list[str], body: str, tie: str) -> DataFr
 
 
 def near_pairs(posts: DataFrame, text: str, key: str, days: int = 3, least: float = 0.9) -> DataFrame:
-    """Posts that repeat an earlier one of at most ``days`` before, by edit similarity of their first 200 characters.
+    """Posts that repeat an earlier one of at most ``days`` before, by edit similarity of their whole texts, in lower case.
 
-    Candidates share an entity, a block of days and one of two signatures (head or tail of the text),
-    so the join is an equi-join; similarity is 1 - edit distance / length.
+    Similarity is 1 - edit distance / longer length, so texts whose lengths are not within ``least`` of
+    each other can't be alike: candidates share an entity, a block of days and a band of lengths, or a
+    neighbouring one. That loses no pair, and the join is an equi-join.
     """
-    t = F.substring(F.lower(text), 1, 200)
-    p = posts.select(ENTITY, F.col(DATE).alias("d"), F.col(key).alias("k"), t.alias("t")).where(F.length("t") > 0)
-    p = p.withColumn("sig", F.explode(F.array_distinct(F.array(F.concat(F.lit("h"), F.substring("t", 1, 24)), F.concat(F.lit("t"), F.expr("right(t, 24)"))))))
-    cell = F.floor(F.unix_date("d") / days)
-    left = p.withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    right = p.select(ENTITY, "sig", cell.alias("cell"), F.col("d").alias("d0"), F.col("k").alias("k0"), F.col("t").alias("t0"))
-    both = left.join(right, [ENTITY, "sig", "cell"]).where((F.col("d0") <= F.col("d")) & (F.date_diff("d", "d0") <= days) & ((F.col("d0") < F.col("d")) | (F.col("k0") < F.col("k"))))
-    alike = 1 - F.levenshtein("t", "t0") / F.greatest(F.length("t"), F.length("t0"))
+    p = posts.select(ENTITY, F.col(DATE).alias("d"), F.col(key).alias("k"), F.lower(text).alias("t")).where(F.length("t") > 0)
+    cell, band = F.floor(F.unix_date("d") / days), F.floor(F.log(F.length("t").cast("double")) / -math.log(least))
+    left = p.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    right = p.select(ENTITY, cell.alias("cell"), band.alias("band"), F.col("d").alias("d0"), F.col("k").alias("k0"), F.col("t").alias("t0"))
+    longer, shorter = F.greatest(F.length("t"), F.length("t0")), F.least(F.length("t"), F.length("t0"))
+    both = left.join(right, [ENTITY, "cell", "band"]).where(
+        (F.col("d0") <= F.col("d")) & (F.date_diff("d", "d0") <= days) & ((F.col("d0") < F.col("d")) | (F.col("k0") < F.col("k"))) & (shorter >= least * longer)
+    )
+    alike = 1 - F.levenshtein("t", "t0") / longer
     return both.select(F.col("k").alias("later"), F.col("k0").alias("earlier"), F.round(alike, 6).alias("similarity")).distinct().where(F.col("similarity") > least)
 
 

@@ -231,9 +231,9 @@ def book(spark, sf_dir):
 CURVE = ", c AS (SELECT date, r, exp(sum(ln(1 + r)) OVER o) AS e FROM r WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, e / greatest(1, max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM c)"
 
 
-@query("ud06_equity", BOOK + CURVE + " SELECT date, round(r, 6) AS r, round(e, 6) AS equity, round(dd, 6) AS drawdown FROM q")
+@query("ud06_equity", BOOK + CURVE + " SELECT date, round(r, 8) AS r, round(e, 8) AS equity, round(dd, 8) AS drawdown FROM q")
 def equity(spark, sf_dir):
-    return ev.equity(book(spark, sf_dir)).select("date", *(F.round(c, 6).alias(c) for c in ("r", "equity", "drawdown")))
+    return ev.equity(book(spark, sf_dir)).select("date", *(F.round(c, 8).alias(c) for c in ("r", "equity", "drawdown")))
 
 
 @query("ud05_06_risk", BOOK + CURVE + """, s AS (SELECT count(*) AS days, avg(r) AS mean, stddev_samp(r) AS dev, sqrt(avg(power(least(r, 0), 2))) AS down, min(dd) AS mdd, sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss, arg_max(e, date) AS final FROM q)

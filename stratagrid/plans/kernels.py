@@ -12,8 +12,14 @@ from stratagrid.plans.registry import query
 from stratagrid.plans.sql import PREPARED, SO_FAR, E, select, w
 
 
-def put(name: str, build, sql: dict[str, str], extra=None, head=None, places: int = 6):
+#: SQL of each column that can be stated over prepared bars alone.
+STATED: dict[str, str] = {}
+
+
+def put(name: str, build, sql: dict[str, str], extra=None, head=None, places: int | dict[str, int] = 6):
     """Registers a query of the columns in ``sql``, which ``build`` gives as expressions over prepared bars."""
+    if not head:
+        STATED.update(sql)
     text = select(sql, **({"head": head} if head else {}), source="q" if head else "p", places=places)
 
     @query(name, text)

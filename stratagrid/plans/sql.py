@@ -36,5 +36,7 @@ def nz(x: str, guard: str = "1e-10") -> str:
     return f"(CASE WHEN ({x}) = 0 THEN {guard} ELSE ({x}) END)"
 
 
-def select(columns: dict[str, str], source: str = "p", places: int = 6, head: str = PREPARED) -> str:
-    return f"{head} SELECT entity, date, " + ", ".join(f"round({e}, {places}) AS {n}" for n, e in columns.items()) + f" FROM {source}"
+def select(columns: dict[str, str], source: str = "p", places: int | dict[str, int] = 6, head: str = PREPARED) -> str:
+    """``places`` for all columns, or for those it names (6 for others)."""
+    at = places.get if isinstance(places, dict) else lambda n, other: places
+    return f"{head} SELECT entity, date, " + ", ".join(f"round({e}, {at(n, 6)}) AS {n}" for n, e in columns.items()) + f" FROM {source}"

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stratagrid.functions.windows import rounded
 from stratagrid.operators import technical as t
 from stratagrid.plans.bars import daily
-from stratagrid.plans.kernels import put
+from stratagrid.plans.kernels import STATED, put
 from stratagrid.plans.registry import query
 from stratagrid.plans.sql import PREPARED, SO_FAR, E, full, nz, select, w
 
+OTHERS = set(STATED)  # columns of other modules
 CS = nz("close")
 SPAN = nz("high - low")
 put("wt01_kbar", t.kbar, {
@@ -64,7 +67,8 @@ for d in (5, 20, 60):
     top, bottom = place(f"hi{d}", "high"), place(f"lo{d}", "low")
     put(f"wt19_extremes_{d}", lambda d=d: t.extremes(d), {f"imax_{d}": top, f"imin_{d}": bottom, f"imxd_{d}": f"{top} - {bottom}"}, head=PREPARED + f", q AS (SELECT *, max(high) OVER {w(d)} AS hi{d}, min(low) OVER {w(d)} AS lo{d} FROM p)")
     vr, vf, vt = full("CASE WHEN dv IS NOT NULL THEN greatest(dv, 0) END", d, "sum"), full("CASE WHEN dv IS NOT NULL THEN greatest(-dv, 0) END", d, "sum"), full("abs(dv)", d, "sum")
-    put(f"wt20_volume_shape_{d}", lambda d=d: t.volume_shape(d), {f"wvma_{d}": f"{full('rv', d, 'stddev_samp')} / {nz(full('rv', d))}", f"vsump_{d}": f"{vr} / {nz(vt)}", f"vsumn_{d}": f"{vf} / {nz(vt)}", f"vsumd_{d}": f"({vr} - {vf}) / {nz(vt)}"})
+    put(f"wt20_volume_shape_{d}", lambda d=d: t.volume_shape(d), {f"wvma_{d}": f"{full('rv', d, 'stddev_samp')} / {nz(full('rv', d))}", f"vsump_{d}": f"{vr} / {nz(vt)}", f"vsumn_{d}": f"{vf} / {nz(vt)}", f"vsumd_{d}": f"({vr} - {vf}) / {nz(vt)}"},
+        places={f"{x}_{d}": 9 for x in ("vsump", "vsumn", "vsumd")})  # shares of whole numbers, which often end in a 5 at the 7th place
 
 UP, DOWN = full("CASE WHEN dtp > 0 THEN tp * volume WHEN dtp IS NOT NULL THEN 0 END", 14, "sum"), full("CASE WHEN dtp < 0 THEN tp * volume WHEN dtp IS NOT NULL THEN 0 END", 14, "sum")
 put("wt22_money_flow", lambda: {"mfi_14": t.money_flow()}, {"mfi_14": f"100 - 100 / (1 + {UP} / {nz(DOWN)})"})
@@ -101,8 +105,17 @@ def recursive_rest(spark, sf_dir):
     return t.recursive(daily(spark, sf_dir)).select(rounded(*rest))
 
 
-@query("technical_all")
+def together() -> dict:
+    """The window indicators that share one partitioning, over several spans."""
+    return t.kbar() | t.price_ratios() | t.moving_averages() | t.bollinger() | t.roc() | t.williams() | t.volatility() | t.volumes() | t.trend(20) | t.counts(20) | {"atr_14": t.atr(), "mfi_14": t.money_flow(), "cmo_14": t.cmo()}
+
+
+SPANS = re.compile(r"k(mid|len|up|low|sft)2?|(open|high|low)0|ma_\d+|boll_\w+|roc_\d+|wr_\d+|vol_5|volume_\w+|obv|amount_\w+|\w+_20|(atr|mfi|cmo)_14")
+APART = re.compile(r"(max|min|qtlu|qtld|rank|rsv|corr|cord|imax|imin|imxd|wvma|vsump|vsumn|vsumd|cci)_20")
+ALL = [n for n in STATED if n not in OTHERS and SPANS.fullmatch(n) and not APART.fullmatch(n)]
+
+
+@query("technical_all", select({n: STATED[n] for n in ALL}, places={"vma_20": 9}))
 def everything(spark, sf_dir):
     """All window indicators in one pass over one partitioning."""
-    named = t.kbar() | t.price_ratios() | t.moving_averages() | t.bollinger() | t.roc() | t.williams() | t.volatility() | t.volumes() | t.trend(20) | t.counts(20) | {"atr_14": t.atr(), "mfi_14": t.money_flow(), "cmo_14": t.cmo()}
-    return t.prepared(daily(spark, sf_dir)).withColumns(named).select("entity", "date", *(F.round(n, 6).alias(n) for n in named))
+    return t.prepared(daily(spark, sf_dir)).withColumns(together()).select(rounded(*ALL, places={"vma_20": 9}))

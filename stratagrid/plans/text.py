@@ -87,9 +87,10 @@ def best_posts(spark, sf_dir):
     return t.best_posts(posts(spark, sf_dir), ["entity", "date"], "text", "doc_id").select("entity", "date", "doc_id")
 
 
-@query("jn24_near_pairs", POSTS + """, p AS (SELECT entity, date AS d, doc_id AS k, substring(lower(text), 1, 200) AS t FROM posts)
-SELECT a.k AS later, b.k AS earlier, round(1 - levenshtein(a.t, b.t) / CAST(greatest(length(a.t), length(b.t)) AS DOUBLE), 6) AS similarity FROM p a JOIN p b ON a.entity = b.entity AND b.d <= a.d AND a.d - b.d <= 3 AND (b.d < a.d OR b.k < a.k)
-AND (left(a.t, 24) = left(b.t, 24) OR right(a.t, 24) = right(b.t, 24)) WHERE length(a.t) > 0 AND length(b.t) > 0 AND round(1 - levenshtein(a.t, b.t) / CAST(greatest(length(a.t), length(b.t)) AS DOUBLE), 6) > 0.9""")
+@query("jn24_near_pairs", POSTS + """, p AS (SELECT entity, date AS d, doc_id AS k, lower(text) AS t, length(text) AS n FROM posts WHERE length(text) > 0),
+c AS MATERIALIZED (SELECT a.k AS later, b.k AS earlier, a.t AS t, b.t AS t0, greatest(a.n, b.n) AS n FROM p a JOIN p b ON a.entity = b.entity AND b.d <= a.d AND a.d - b.d <= 3 AND (b.d < a.d OR b.k < a.k) AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)),
+s AS (SELECT later, earlier, round(1 - levenshtein(t, t0) / CAST(n AS DOUBLE), 6) AS similarity FROM c)
+SELECT * FROM s WHERE similarity > 0.9""")
 def near_pairs(spark, sf_dir):
     return t.near_pairs(posts(spark, sf_dir).withColumn("entity", F.col("entity")), "text", "doc_id")
 
