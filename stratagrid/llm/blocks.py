@@ -46,7 +46,7 @@ def rows_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 def dealt(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The shard of each key, and the keys' order by shard (stable)."""
     shard = (mixed(keys ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(33)) % np.uint64(n_shards)
-    return shard, np.argsort(shard.astype(np.int32), kind="stable")
+    return shard, np.argsort(shard.astype(np.uint16 if n_shards < 1 << 16 else np.int64), kind="stable")
 
 
 def spread(shard: np.ndarray, order: np.ndarray, n_shards: int) -> list[np.ndarray]:

@@ -102,11 +102,11 @@ def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers in the fewest bytes each that hold the largest; the first byte tells how many."""
     size = np.min_scalar_type(int(numbers.max())).itemsize if len(numbers) else 1
-    return bytes([size]) + numbers.astype(f"u{size}").tobytes()
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
 
 
 def unpacked(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, f"u{held[0]}", offset=1)
+    return np.frombuffer(held, f"<u{held[0]}", offset=1)
 
 
 def planes(rising: np.ndarray) -> bytes:
@@ -116,3 +116,12 @@ def planes(rising: np.ndarray) -> bytes:
 
 def unplaned(held: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def squeezed(held: bytes) -> bytes:
+    """Compressed, behind its length: packets are small in memory and in the exchange."""
+    return len(held).to_bytes(4, "little") + pa.compress(held, codec="zstd", asbytes=True)
+
+
+def opened(held: bytes) -> bytes:
+    return pa.decompress(held[4:], int.from_bytes(held[:4], "little"), codec="zstd", asbytes=True)

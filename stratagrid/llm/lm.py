@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.blocks import NULL_ID, SHARD_BYTES, blocked, dealt, ids, spread
-from stratagrid.llm.common import hash_words, mixed, packed, planes, starts_of, unpacked, unplaned
+from stratagrid.llm.common import hash_words, mixed, opened, packed, planes, squeezed, starts_of, unpacked, unplaned
 
 #: Weights of the back-off, in pairs and in triples.
 MU2, MU3 = 400.0, 20.0
 #: Steps of the quantised logarithm for each factor of 10.
 STEPS = 4096
-SPARE_BITS = 16
+SPARE_BITS = 14
 END = hash_words([b"\n"])[0]  # no word holds a line break
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Where the k-th set bit of a byte is.
@@ -69,8 +69,8 @@ class EliasFano:
         n = len(values)
         bits = max(0, (universe // max(1, n)).bit_length() - 1)
         low = values & np.uint64((1 << bits) - 1)
-        flags = ((low[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
-        packed_low = np.packbits(flags.ravel(), bitorder="little").tobytes() + b"\0" * 8
+        parts = (low[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8) for i in range(0, n, 1 << 16))  # whole bytes each
+        packed_low = b"".join(np.packbits(np.unpackbits(x, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes() for x in parts) + b"\0" * 8
         high = (values >> np.uint64(bits)).astype(np.int64)
         unary = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 2) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
@@ -163,14 +163,6 @@ class Trie:
         return out
 
 
-def squeezed(held: bytes) -> bytes:
-    return len(held).to_bytes(4, "little") + pa.compress(held, codec="zstd", asbytes=True)
-
-
-def opened(held: bytes) -> bytes:
-    return pa.decompress(held[4:], int.from_bytes(held[:4], "little"), codec="zstd", asbytes=True)
-
-
 def keys_of(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     """n-gram keys for a corpus whose bytes take ``bits`` bits to number: a context's fingerprint above one of the word that depends on the whole context."""
     high, low = bits // 2, SPARE_BITS + bits - bits // 2
@@ -178,7 +170,7 @@ def keys_of(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokens(table: pa.Table, bits: int):
-    """Ids, training flags, lengths and token hashes of a block, the token before each, and keys of the pair and the triple that each ends."""
+    """Ids, training flags, lengths and begins of a block's texts, token hashes, and keys of the pair and the triple that each token ends."""
     held = sorted(zip((NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()), table.column("train").to_pylist(), table.column("text").to_pylist(), strict=True))
     words = [t.lower().split() for _, _, t in held]
     counts = np.array([len(w) + 1 for w in words], np.int64)
@@ -192,8 +184,7 @@ def tokens(table: pa.Table, bits: int):
     second[begin[:-1]] = END  # a text starts behind two end tokens
     pair = keys_of(before, h, bits)
     triple = keys_of(mixed(second ^ np.uint64(0x5851F42D4C957F2D)) + before, h, bits)
-    lead = keys_of(second, before, bits)  # the context of a triple, as a pair
-    return np.array([i for i, _, _ in held], np.int64), np.array([t for _, t, _ in held], bool), counts, h, before, pair, triple, lead
+    return np.array([i for i, _, _ in held], np.int64), np.array([t for _, t, _ in held], bool), counts, begin, h, pair, triple
 
 
 class Deal:
@@ -202,19 +193,20 @@ class Deal:
     def __init__(self, n_shards: int, bits: int) -> None:
         self.n_shards, self.bits = n_shards, bits
 
-    def keys(self, found) -> list[np.ndarray]:
-        _, _, _, h, before, pair, triple, lead = found
-        return [np.unique(np.concatenate([h, before, [END]])), np.unique(np.concatenate([pair, lead])), np.unique(triple)]
+    def keys(self, found) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Different keys of each order and the place of each token's among them; the last of the pairs is a text's first context, two end tokens."""
+        *_, h, pair, triple = found
+        start = keys_of(np.array([END]), np.array([END]), self.bits)
+        return [np.unique(x, return_inverse=True) for x in (h, np.append(pair, start), triple)]
 
     def sent(self, table: pa.Table) -> pa.Table:
         found = tokens(table, self.bits)
         used = np.repeat(found[1], found[2])
         rows = []
-        for order, (own, seen) in enumerate(zip(self.keys(found), (found[3], found[5], found[6]), strict=True)):
-            times = np.bincount(np.searchsorted(own, seen), weights=used, minlength=len(own)).astype(np.uint32)
-            if order == 1:  # a text's first context, two end tokens, is no pair of the text but counts as often as texts
-                start = keys_of(np.array([END]), np.array([END]), self.bits)
-                times[np.searchsorted(own, start)] += np.uint32(found[1].sum())
+        for order, (own, place) in enumerate(self.keys(found)):
+            times = np.bincount(place[: len(used)], weights=used, minlength=len(own)).astype(np.uint32)
+            if order == 1:  # the first context is no pair of the text but counts as often as texts
+                times[place[-1]] += np.uint32(found[1].sum())
             for s, p in enumerate(spread(*dealt(own, self.n_shards), self.n_shards)):
                 if len(p) or not order:  # every shard of words hears of every block, so that every block learns N and V
                     rows.append((order * self.n_shards + s, squeezed(planes(own[p])), squeezed(packed(times[p]))))
@@ -248,21 +240,24 @@ class Deal:
 
     def scored(self, left: pa.Table, right: pa.Table) -> pa.Table:
         found = tokens(left, self.bits)
-        doc_ids, train, counts, h, before, pair, triple, lead = found
+        doc_ids, train, counts, begin, h, _, _ = found
         answers = dict(zip(right.column("shard").to_pylist(), right.column("found").to_pylist(), strict=True))
         n, v = (sum(x or 0 for x in right.column(c).to_pylist()) for c in ("n", "v"))
         known = []
-        for order, own in enumerate(self.keys(found)):
+        for order, (own, place) in enumerate(self.keys(found)):
             held = np.zeros(len(own), np.int64)
             for s, p in enumerate(spread(*dealt(own, self.n_shards), self.n_shards)):
                 if len(p) and order * self.n_shards + s in answers:
                     held[p] = unpacked(opened(answers[order * self.n_shards + s]))
-            known.append((own, held.astype(float) if not order else np.where(held > 0, 10.0 ** ((held - 1) / STEPS), 0.0)))
-        times = lambda order, asked: known[order][1][np.searchsorted(known[order][0], asked)]
-        own = times(0, h)
+            known.append((held.astype(float) if not order else np.where(held > 0, 10.0 ** ((held - 1) / STEPS), 0.0))[place])
+        own, pairs, triples = known
+        first = begin[:-1]
+        before, lead = np.concatenate([[0.0], own[:-1]]), np.concatenate([[0.0], pairs[: len(h) - 1]])
+        if len(first):
+            before[first], lead[first] = own[begin[1] - 1], pairs[-1]  # of the end token, and of two
         base = (own + 1) / (n + v + 1)
-        two = (times(1, pair) + MU2 * base) / (times(0, before) + MU2)
-        three = (times(2, triple) + MU3 * two) / (times(1, lead) + MU3)
+        two = (pairs[: len(h)] + MU2 * base) / (before + MU2)
+        three = (triples + MU3 * two) / (lead + MU3)
         doc = np.repeat(np.arange(len(counts)), counts)
         total = lambda x: np.bincount(doc, weights=x, minlength=len(counts))
         return pa.table(
