@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratagrid.llm.blocks import blocked, dealt, ids, rows_of, spread
-from stratagrid.llm.common import hash_words, planes, starts_of, unplaned, windows
+from stratagrid.llm.common import hash_words, opened, planes, squeezed, starts_of, unplaned, windows
 
 SPAN = 20
 
@@ -124,16 +124,16 @@ def duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int32()),
                 "shard": pa.array([s for s, _ in parts], pa.int32()),
                 "keys": pa.array([keys[p].tobytes() for _, p in parts], pa.binary()),
-                "ids": pa.array([planes(source[p].view(np.uint64)) for _, p in parts], pa.binary()),
-                "starts": pa.array([steps_of(source[p], start[p]) for _, p in parts], pa.binary()),
+                "ids": pa.array([squeezed(planes(source[p].view(np.uint64))) for _, p in parts], pa.binary()),
+                "starts": pa.array([squeezed(steps_of(source[p], start[p])) for _, p in parts], pa.binary()),
             }
         )
 
     def resolve(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        owners = [unplaned(x).view(np.int64) for x in table.column("ids").to_pylist()]
+        owners = [unplaned(opened(x)).view(np.int64) for x in table.column("ids").to_pylist()]
         held = np.concatenate(owners)
-        at = np.concatenate([starts_from(i, x) for i, x in zip(owners, table.column("starts").to_pylist(), strict=True)])
+        at = np.concatenate([starts_from(i, opened(x)) for i, x in zip(owners, table.column("starts").to_pylist(), strict=True)])
         ends = starts_of(np.array([len(k) for k in keys]))
         k = np.concatenate(keys)
         order = np.lexsort((at, held, k))
@@ -146,8 +146,8 @@ def duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
             {
                 "block": table.column("block"),
                 "shard": table.column("shard"),
-                "ids": pa.array([planes(source[a:b].view(np.uint64)) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                "shifts": pa.array([planes(shift[a:b].view(np.uint64)) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "ids": pa.array([squeezed(planes(source[a:b].view(np.uint64))) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "shifts": pa.array([squeezed(planes(shift[a:b].view(np.uint64))) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
             }
         )
 
@@ -157,8 +157,8 @@ def duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
         parts = spread(*dealt(keys, n_shards), n_shards)
         source, source_start = own_id.copy(), own_start.copy()
         for s, x, y in zip(right.column("shard").to_pylist(), right.column("ids").to_pylist(), right.column("shifts").to_pylist(), strict=True):
-            source[parts[s]] = unplaned(x).view(np.int64)
-            source_start[parts[s]] += unplaned(y).view(np.int64)
+            source[parts[s]] = unplaned(opened(x)).view(np.int64)
+            source_start[parts[s]] += unplaned(opened(y)).view(np.int64)
         start = at - begin[doc]
         src, src_start = source[place], source_start[place]
         hit = np.flatnonzero((src < doc_ids[doc]) | ((src == doc_ids[doc]) & (src_start < start)))
