@@ -182,5 +182,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents whose text overlaps no item."""
     bad = overlaps(docs, benchmark).select(F.col("key").alias("_bad")).distinct()
-    own = F.unhex(F.md5(F.col("text").cast("binary")))
-    return docs.withColumn("_key", own).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("own"))
+    return own.join(bad, F.col("own") == F.col("_bad"), "left_anti").select("row.*")

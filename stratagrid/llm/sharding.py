@@ -128,4 +128,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20240101) ->
 def shuffled(docs: DataFrame, shards: int = 24, seed: int = 20240101) -> DataFrame:
     """The documents themselves with ``shard`` and ``slot``."""
     rows = docs.drop("shard", "slot")
-    return assigned(rows.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), ["doc_id", "_crc"], shards, seed).drop("_crc").select(*rows.columns, "shard", "slot")
+    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), "doc_id", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc"))
+    return assigned(held, ["doc_id", "crc"], shards, seed).select("row.*", "shard", "slot")

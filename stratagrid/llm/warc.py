@@ -57,8 +57,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def described(records: DataFrame) -> DataFrame:
     """What each record's own bytes say: the header fields, and length and digest of the payload behind them."""
-    text = F.col("header")
-    field = lambda name: F.nullif(F.regexp_extract(text, f"(?m)^{name}: (?:<urn:page:|sha256:)?([^>\\r\\n]*)", 1), F.lit(""))
+    text = F.col("header")  # d: only a line feed ends a line, so no other break inside a url starts a field
+    field = lambda name: F.nullif(F.regexp_extract(text, f"(?md)^{name}: (?:<urn:page:|sha256:)?([^>\\r\\n]*)", 1), F.lit(""))
     body = F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)")
     return records.withColumn("body", body).select(
         "page_id",

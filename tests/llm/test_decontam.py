@@ -83,3 +83,8 @@ def test_short_items_spare_no_more(spark):
     items = [(7, "a b c d e f g"), (8, "a b c d e f g h"), (10, "a b c d e f g h i j")]
     got = {r.doc_id: r.item_ids for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
     assert got == {1: [8], 4: [7, 8, 10], 5: [8]}
+
+
+def test_clashing_names(spark, sf):
+    rows = spark.createDataFrame([(1, "a b c", "k", "b")], "doc_id long, text string, _key string, _bad string")
+    assert [tuple(r) for r in decontam.clean(rows, table(spark, sf, "benchmark")).collect()] == [(1, "a b c", "k", "b")]

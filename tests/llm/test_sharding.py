@@ -69,3 +69,10 @@ def test_matrix_sums():
 def test_native_plan(spark, sf):
     plan = sharding.shard_documents(table(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", i, i, i, i) for i in range(30)], "doc_id long, text string, _source int, _pos int, crc int, row int")
+    got = sharding.shuffled(rows, 4)
+    assert got.columns == [*rows.columns, "shard", "slot"]
+    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(map(tuple, rows.collect()))

@@ -43,3 +43,11 @@ def test_records_are_whole(spark, tmp_path):
     record = bytes(warc.read_archive(spark, str(tmp_path / "d")).first().record)
     head, body = record.split(b"\r\n\r\n", 1)
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 9" in head and body == b"<p>hi</p>\r\n\r\n"
+
+
+def test_breaks_in_a_url_start_no_field(spark, tmp_path):
+    urls = [f"http://a/{c}WARC-Refers-To: 7" for c in ("\u2028", "\u2029", "\x85", "\x0b", "\x0c", "\r\n", "\n", "\r")]
+    pages = spark.createDataFrame([(i, u, f"page {i} " * 30) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = warc.described(warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    assert len(got) == len(urls) and all(r.record_type == "response" and r.refers_to is None for r in got)
