@@ -23,6 +23,7 @@ import json
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,37 +32,30 @@ from stratagrid.session import cut
 
 #: Source partitions, at most; a plan has this many rows.
 MAX_SOURCES = 4096
+#: Deviations from the mode within which a draw is looked for.
+REACH = 12
 #: Rows that a task of the second permutation numbers, about.
 BUCKET_ROWS = 50_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` from ``good`` + ``bad``, by inversion outwards from the mode."""
+    """Good ones among ``draws`` from ``good`` + ``bad``, by inversion.
+
+    Probabilities are taken relative to the mode's, by the ratios of neighbours, and divided by their
+    own sum, so no large logarithms are subtracted; what lies REACH deviations away is below 1e-30.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    left = rng.random() - p
-    up = down = mode
-    p_up = p_down = p
-    while left > 0:
-        if up == high and down == low:
-            return mode
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    width = int(REACH * math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1)))) + REACH
+    up = np.arange(mode, min(high, mode + width), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - width), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    upto = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(down) + min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(upto) - 1)
 
 
 def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:

@@ -49,7 +49,7 @@ def test_order_is_shuffled(spark, sf):
 
 def test_draws_have_the_right_mean_and_spread():
     rng = random.Random(1)
-    for good, bad, draws in ((10, 30, 8), (500, 700, 300), (2, 100, 50), (10**7, 9 * 10**7, 5000)):
+    for good, bad, draws in ((10, 30, 8), (500, 700, 300), (2, 100, 50), (10**7, 9 * 10**7, 5000), (4 * 10**9, 10**11, 3 * 10**7)):
         x = [sharding.hypergeometric(rng, good, bad, draws) for _ in range(4000)]
         p, total = good / (good + bad), good + bad
         var = draws * p * (1 - p) * (total - draws) / (total - 1)
