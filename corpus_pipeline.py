@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next one's documents.
+
+Defined results: null and empty texts fail the quality rules' word count and go; long texts are judged
+whole; of equal texts and repeated rows near-dedup keeps one, by the smallest doc_id, a null id last;
+an empty table gives an empty table with all columns; further columns of any name stay, but for
+``shard`` and ``slot``, which the last stage sets.
+"""
 
 from __future__ import annotations
 
