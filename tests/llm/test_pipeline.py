@@ -29,3 +29,15 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_and_empty_rows(spark, sf, odd, empty):
+    """Every stage takes what the stage before leaves of odd rows, and nothing."""
+    for docs in (odd, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            assert [c for c in out.columns if c not in ("shard", "slot")] == [c for c in columns if c not in ("shard", "slot")], name
+            docs = spark.createDataFrame(rows, out.schema)
+    assert all(r.text for r in rows)
