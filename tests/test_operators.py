@@ -5,7 +5,7 @@ import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
-from stratagrid.operators import account, channels, contracts, series, technical, text
+from stratagrid.operators import account, catalog, channels, contracts, series, technical, text
 from stratagrid.sources import store
 
 DAY = datetime.date(2024, 1, 1)
@@ -110,3 +110,22 @@ def test_letters_of_any_script_are_no_noise(spark):
     texts = ["Привет мир", "καλημέρα", "你好世界再见", "١٢٣٤٥٦", "...\n***", "_____", "—–…¡¿", "abc", "?!?!?a", None]
     got = [r.noise for r in spark.createDataFrame(list(enumerate(texts)), "k int, text string").orderBy("k").select(text.is_noise("text").alias("noise")).collect()]
     assert got == [False, False, False, False, True, True, True, True, False, None]
+
+
+def test_catalog_keeps_the_last_row_fills_lags_and_ages(spark):
+    b = bars(spark, [1.0, 2.0, 3.0, 4.0]).select("entity", "date", "close")
+    key = "entity long, date date, "
+    flow = spark.createDataFrame([(1, day(1), 5.0, 1, 9.0), (1, day(1), 7.0, 2, 9.0)], key + "net double, at int, close double")
+    held = spark.createDataFrame([(1, day(0), 3.0), (1, day(2), None)], key + "pledge_ratio double")
+    got = catalog.merged(b, {"pledge": held, "capital_flow": flow, "comment": None}, order="at").orderBy("date").collect()
+    assert [r.net for r in got] == [0.0, 0.0, 7.0, 0.0] and [r.close for r in got] == [1.0, 2.0, 3.0, 4.0]
+    assert [r.pledge_ratio for r in got] == [0.0, 3.0, 3.0, 3.0]
+    assert [r.pledge_staleness_days for r in got] == [0, 0, 1, 2] and [r.pledge_has_ever_observed for r in got] == [False, True, True, True]
+
+
+def test_catalog_of_empty_sources_and_scrubbed_names(spark):
+    b = bars(spark, [1.0, 2.0]).select("entity", "date", "close")
+    none = spark.createDataFrame([], "entity long, date date, margin_balance double")
+    got = catalog.merged(b, {"margin": none, "limit_up": none}).collect()
+    assert [(r.margin_balance, r.margin_is_stale, r.margin_has_ever_observed) for r in got] == [(0.0, False, False)] * 2
+    assert catalog.scrubbed(["a", "a_lag5", "topic_1", "roe", "margin_net", "margin_is_stale"], off=("margin",)) == ["a", "roe"]
