@@ -90,9 +90,9 @@ def brought(ch: Channel, source: DataFrame, own: list[str], account: bool = Fals
 
 
 def last_by_key(source: DataFrame, keys: list[str], columns: list[str], order: str | None) -> DataFrame:
-    """One row a key: the last by ``order``, the greatest row without one. Aggregated on the map side."""
+    """One row a key: the last by ``order``, the greatest row where the source has no such column. Aggregated on the map side."""
     row = F.struct(*columns)
-    held = F.max(row) if order is None else F.max(F.struct(F.col(order).alias("_order"), row.alias("_row")))["_row"]
+    held = F.max(row) if order not in source.columns else F.max(F.struct(F.col(order).alias("_order"), row.alias("_row")))["_row"]
     return source.groupBy(*keys).agg(held.alias("_row")).select(*keys, "_row.*")
 
 
