@@ -68,6 +68,17 @@ def text_daily(half_life: float = 7.0) -> Chain:
     ])
 
 
+def text_pre(half_life: float = 7.0, edge: float = 0.2) -> Chain:
+    """Noise out, then the side a post takes and its weight by age. Near copies are ``near_pairs``' work."""
+    side = F.when(F.col("score") > edge, 1).when(F.col("score") < -edge, -1).otherwise(0)
+    return Chain("text_pre", [*text_daily(half_life).steps[:2], plain("side", lambda df: df.withColumn("side", side)), text_daily(half_life).steps[2]])
+
+
+def text_aggregate() -> Chain:
+    """Daily statistics of scored posts, and windows of their mean."""
+    return Chain("text_aggregate", [plain("daily", lambda df: text.daily_stats(df, "score")), plain("windows", lambda df: df.withColumns(series.text_windows("mean")))])
+
+
 def concept(label: str, top: int = 100, least: int = 5) -> Chain:
     """Multi-hot columns over a vocabulary of the training fold."""
     return Chain("concept", [Step("vocabulary", lambda df, words: aggregates.multi_hot(df, label, words), lambda df: [r[label] for r in aggregates.vocabulary(df, label, least, top).collect()], "fold_train_only")])

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from stratagrid.plans import aggregates, bars, catalog, channels, contracts, cross_section, kernels, rankings, refine, series, stores, streaming, technical, text  # noqa: E402,F401
+from stratagrid.plans import aggregates, bars, catalog, channels, contracts, cross_section, kernels, rankings, refine, series, stores, streaming, technical, text, upkeep  # noqa: E402,F401
