@@ -29,13 +29,13 @@ def tail_merge(spark, sf_dir):
     return u.extended(held, e.where("date >= date '1995-12-01'"), "class")
 
 
-LIFTED = ", ".join(f"round(CASE WHEN min({c}) OVER (PARTITION BY entity) < 0 THEN greatest({c}, 0.01) ELSE {c} END, 6) AS {c}" for c in ("low", "close"))
+LIFTED = ", ".join(f"CASE WHEN min({c}) OVER (PARTITION BY entity) < 0 THEN greatest({c}, 0.01) ELSE {c} END AS {c}" for c in ("low", "close"))
 
 
 @query("md14_bad_prices", f"WITH bars AS ({BARS}), s AS (SELECT entity, date, low - 910 AS low, close - 950 AS close FROM bars) SELECT entity, date, {LIFTED} FROM s")
 def bad_prices(spark, sf_dir):
     shifted = daily(spark, sf_dir).select("entity", "date", (F.col("low") - 910).alias("low"), (F.col("close") - 950).alias("close"))
-    return u.lifted(shifted, ["low", "close"]).select("entity", "date", *(F.round(c, 6).alias(c) for c in ("low", "close")))
+    return u.lifted(shifted, ["low", "close"])
 
 
 @query("md08_out_of_band", f"""WITH bars AS ({BARS}), i AS (SELECT entity, close, amount / (volume * 0.9 * CASE WHEN date < DATE '1995-06-01' THEN 100 ELSE 1 END) AS p FROM bars)
@@ -44,16 +44,16 @@ def out_of_band(spark, sf_dir):
     return u.out_of_band(daily(spark, sf_dir).withColumn("volume", F.col("volume") * 0.9), F.col("date") < F.lit("1995-06-01").cast("date"))
 
 
-@query("cx03_mergeable_dates", f"""WITH bars AS ({BARS}), v AS (SELECT date, 'volume' AS feature, CAST(volume AS DOUBLE) AS v FROM bars UNION ALL SELECT date, 'width', round(high - low, 2) FROM bars)
-SELECT date, feature, count(*) AS n, round(avg(v), 5) AS mean, round(greatest(coalesce(stddev_samp(v), 1), 1e-8), 5) AS std FROM v GROUP BY 1, 2""")
+@query("cx03_mergeable_dates", f"""WITH bars AS ({BARS}), v AS (SELECT date, 'volume' AS feature, CAST(volume AS DOUBLE) AS v FROM bars UNION ALL SELECT date, 'width', floor(high - low) FROM bars)
+SELECT date, feature, count(*) AS n, avg(v) AS mean, round(greatest(coalesce(stddev_samp(v), 1), 1e-8), 5) AS std FROM v GROUP BY 1, 2""")
 def mergeable_dates(spark, sf_dir):
     """Chunks of entities are summed and stored one by one, then added up and finalised."""
-    rows = daily(spark, sf_dir).select("entity", "date", F.col("volume").cast("double").alias("volume"), F.round(F.col("high") - F.col("low"), 2).alias("width"))
+    rows = daily(spark, sf_dir).select("entity", "date", F.col("volume").cast("double").alias("volume"), F.floor(F.col("high") - F.col("low")).cast("double").alias("width"))
     path = f"{shared_dir(spark)}/dates-{uuid.uuid4().hex}"
     for chunk in range(3):
         u.date_sums(rows.where(F.col("entity") % 3 == chunk), ["volume", "width"]).write.mode("append").parquet(path)
     out = u.date_statistics(u.added_up([spark.read.parquet(path)]))
-    return out.select("date", "feature", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+    return out.select("date", "feature", "n", "mean", F.round("std", 5).alias("std"))
 
 
 DECLARED = """SELECT CASE WHEN p_partkey % 50 = 0 THEN 'market_env' ELSE p_brand END AS channel, p_partkey AS part, CASE p_size % 4 WHEN 0 THEN 'immutable_snapshot' WHEN 1 THEN 'latest_revised' WHEN 2 THEN 'immutable_snapshot' END AS source_vintage,
