@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stratagrid.llm import decontam, lm, mixing, neardup, pii, quality, sharding, substring, toxicity, warc
+from stratagrid.llm import codes, decontam, langid, lm, mixing, neardup, pii, quality, sharding, substring, toxicity, warc, whitening
 from stratagrid.session import shared_dir, table
 
 
@@ -53,8 +53,44 @@ def op10_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_toxicity, op3_substring, op4_lm, op5_warc, op6_mixing, op7_minhash, op8_pii, op9_decontam, op10_quality)}
+def op11_codes(spark, sf_dir):
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_langid(spark, sf_dir):
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """All distances of parts to entries, round by round; fixed values: 4 parts, 256 entries, 1024 steps."""
+    out = """
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding AS v, len(embedding) // 4 AS w
+            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        p AS MATERIALIZED (SELECT r, (i - 1) // w AS part, (i - 1) % w AS pos, floor(1024 * v[i]::DOUBLE)::BIGINT AS x FROM (SELECT r, v, w, unnest(range(1, 4 * w + 1)) AS i FROM k)),
+        b0 AS MATERIALIZED (SELECT part, r AS entry, pos, x AS c FROM p WHERE r < 256),"""
+    for n in range(rounds + 1):
+        out += f"""
+        d{n} AS (SELECT p.r, p.part, b{n}.entry, sum((x - c) * (x - c))::BIGINT AS d FROM p JOIN b{n} USING (part, pos) GROUP BY ALL),
+        a{n} AS MATERIALIZED (SELECT r, part, min(d * 256 + entry) % 256 AS entry, min(d * 256 + entry) // 256 AS d FROM d{n} GROUP BY ALL),"""
+        if n < rounds:
+            out += f"""
+        s{n} AS (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS n FROM p JOIN a{n} USING (r, part) GROUP BY ALL),
+        b{n + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM b{n} LEFT JOIN s{n} USING (part, entry, pos)),"""
+    return out + f"""
+        e AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+        h AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (r), h"""
+
+
+QUERIES = {f.__name__: f for f in (op1_shard, op2_toxicity, op3_substring, op4_lm, op5_warc, op6_mixing, op7_minhash, op8_pii, op9_decontam, op10_quality, op11_codes, op12_whitening, op13_langid)}
 ORACLES: dict[str, str] = {
+    "op11_codes": codes_sql(),
     "op5_warc": """
         WITH b AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, url, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM b),
