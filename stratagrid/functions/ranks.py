@@ -17,6 +17,12 @@ def average_rank(x: Column | str, *by: str, descending: bool = False) -> Column:
     return F.when(v.isNotNull(), (F.count(v).over(all_) + 1 + less) / 2.0)
 
 
+def centred_rank(x: Column | str, *by: str) -> Column:
+    """Twice the average rank less the middle, a whole number; for rows without NULL."""
+    all_ = Window.partitionBy(*by)
+    return (F.rank().over(all_.orderBy(F.asc(x))) - F.rank().over(all_.orderBy(F.desc(x)))).cast("long")
+
+
 #: Fixed: coefficients of Acklam's rational approximation of the normal quantile.
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratagrid.functions.ranks import average_rank, normal_quantile
+from stratagrid.functions.ranks import average_rank, centred_rank, normal_quantile
 from stratagrid.functions.windows import DATE, clip, col, correlation, last_rows, per_date
 
 FEW = 5
@@ -110,11 +110,13 @@ def sector_strength(df: DataFrame, change: str, sector: str = "sector") -> DataF
 def daily_rank_ic(df: DataFrame, score: str, outcome: str, least: int = 10) -> DataFrame:
     """Spearman correlation of score and outcome for each date with ``least`` names and a score that varies.
 
-    Ranks are taken after the pool is filtered.
+    Ranks are taken after the pool is filtered. They are centred whole numbers, so their sums are exact and a
+    correlation of 0 is 0 in whatever order rows come.
     """
     pool = df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
-    ranked = pool.withColumns({"_a": average_rank(score, DATE), "_b": average_rank(outcome, DATE)})
-    by = ranked.groupBy(DATE).agg(F.count("*").alias("n"), F.when(F.min(score) < F.max(score), correlation("_a", "_b")).alias("ic"))
+    ranked = pool.withColumns({"_a": centred_rank(score, DATE), "_b": centred_rank(outcome, DATE)})
+    total = lambda a, b: F.sum(F.col(a) * F.col(b))
+    by = ranked.groupBy(DATE).agg(F.count("*").alias("n"), F.try_divide(total("_a", "_b").cast("double"), F.sqrt(total("_a", "_a")) * F.sqrt(total("_b", "_b"))).alias("ic"))
     return by.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 

@@ -34,6 +34,10 @@ def rank_sql(x: str) -> str:
     return f"(rank() OVER (PARTITION BY date ORDER BY {x} ASC NULLS LAST) + (count({x}) OVER (PARTITION BY date, {x}) - 1) / 2.0)"
 
 
+def middle_sql(x: str) -> str:
+    return f"(rank() OVER (PARTITION BY date ORDER BY {x}) - rank() OVER (PARTITION BY date ORDER BY {x} DESC))"
+
+
 def put(name: str, build, sql: dict[str, str], head: str = "", source: str = "m"):
     @query(name, select(sql, source, head=HEAD + head))
     def run(spark, sf_dir):
@@ -80,8 +84,8 @@ def sector_strength(spark, sf_dir):
 
 IC = HEAD + f""",
 pool AS (SELECT * FROM m WHERE score IS NOT NULL AND fwd IS NOT NULL),
-k AS (SELECT date, score, {rank_sql('score')} AS a, {rank_sql('fwd')} AS b FROM pool),
-ic AS (SELECT date, count(*) AS n, CASE WHEN min(score) < max(score) AND min(b) < max(b) THEN corr(a, b) END AS ic FROM k GROUP BY date HAVING count(*) >= 10)"""
+k AS (SELECT date, {middle_sql('score')} AS a, {middle_sql('fwd')} AS b FROM pool),
+ic AS (SELECT date, count(*) AS n, CAST(sum(a * b) AS DOUBLE) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0) AS ic FROM k GROUP BY date HAVING count(*) >= 10)"""
 
 
 @query("cx15_daily_rank_ic", IC + " SELECT date, n, round(ic, 6) AS ic FROM ic WHERE ic IS NOT NULL")
