@@ -67,6 +67,62 @@ def running_balance(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def on_time(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Each event id once, without rows whose time isn't after the watermark of the batches before.
+
+    Spark counts the rows it drops here one by one (``numRowsDroppedByWatermark`` of the batch's progress);
+    the windows behind count groups only.
+    """
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def closed_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """For append mode: counts and sums by event type of the windows that no further row can reach."""
+    return (
+        on_time(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        .select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    )
+
+
+def idle_spells(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """For append mode: user_id, start, last, n and total of a user's runs of events, given out once the user was idle for ``gap``.
+
+    Runs are state until a timer on event time says that the watermark has passed them; rows out of order
+    may still join two of them until then. A user's state holds the runs within the watermark's delay
+    and the gap only.
+    """
+    wait = int(pd.Timedelta(gap).total_seconds() * 1000)
+
+    def step(key: tuple, batches, state: GroupState):
+        held = [tuple(r) for r in state.get[0]] if state.exists else []
+        for pdf in batches:
+            # whole microseconds, as Arrow's unit is a session's own
+            at = pdf["us"].to_numpy()
+            held += [(int(a), int(a), 1, float(v)) for a, v in zip(at, pdf["value"].to_numpy(), strict=True)]
+        held.sort()
+        runs: list[tuple] = []
+        for a, b, n, total in held:
+            if runs and a - runs[-1][1] < wait * 1000:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]), runs[-1][2] + n, runs[-1][3] + total)
+            else:
+                runs.append((a, b, n, total))
+        mark = state.getCurrentWatermarkMs() * 1000
+        done = [r for r in runs if r[1] + wait * 1000 <= mark]
+        left = [r for r in runs if r[1] + wait * 1000 > mark]
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, -(-left[0][1] // 1000) + wait))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame({"user_id": [key[0]] * len(done), "start": [r[0] for r in done], "last": [r[1] for r in done], "n": [r[2] for r in done], "total": [r[3] for r in done]})
+
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), "value")
+    run = "struct<start: bigint, last: bigint, n: bigint, total: double>"
+    out = rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, start long, last long, n long, total double", f"runs array<{run}>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("user_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n", F.round("total", 4).alias("total"))
+
+
 def upsert(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the last row of each (entity, date) of a batch goes to ``write`` once; a batch that comes again writes the same rows."""
 

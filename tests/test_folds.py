@@ -82,8 +82,8 @@ def test_an_entity_is_judged_by_its_past_only(spark):
 
     assert got == {(k, f): judged(p[:end]) for k, p in paths.items() for f, end in ends.items()}
     assert {got[1, f] for f in ends} == {None, "hi_vol"}
-    kept = {r.fold: r.entities for r in fo.usable(fo.quality(df, sessions, plan), 4).collect()}
-    assert all(n == sum(got[k, f] is None for k in paths) >= 4 for f, n in kept.items()) and 0 < len(kept) < len(ends)
+    kept = {r.fold: r.entities for r in fo.usable(fo.quality(df, sessions, plan), 5).collect()}
+    assert all(n == sum(got[k, f] is None for k in paths) >= 5 for f, n in kept.items()) and 0 < len(kept) < len(ends)
 
 
 def test_gates_add_up_and_unknown_passes_nothing(spark):
