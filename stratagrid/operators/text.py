@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType
 from pyspark.sql.window import Window
 
 from stratagrid.functions.windows import DATE, ENTITY, col
+from stratagrid.session import dropped, stored
 
 POSITIVE = ("the", "tion", "est")
 NEGATIVE = ("idiot", "worthless", "moron", "scum", "trash")
@@ -84,25 +88,100 @@ def best_posts(posts: DataFrame, keys: list[str], body: str, tie: str) -> DataFr
     return posts.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+#: Runs of so many characters are counted in so many buckets.
+RUN, BUCKETS = 3, 1024
+
+
+@F.pandas_udf(BinaryType())
+def run_counts(texts: pd.Series) -> pd.Series:
+    """How often a text's runs of RUN characters fall into each bucket."""
+
+    def counted(t: str) -> bytes:
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        runs = c[2:] + c[1:-1] * np.uint64(0x9E3779B1) + c[:-2] * np.uint64(0x85EBCA77C2B2AE63) if len(c) >= RUN else c[:0]
+        return np.bincount((runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes()
+
+    return texts.map(counted)
+
+
+@F.pandas_udf(DoubleType())
+def least_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many edits it takes at least to turn one text's counts into the other's: an edit moves RUN runs out and RUN in at most."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), BUCKETS).astype(np.int64) for v in (a, b))
+    return pd.Series(np.abs(x - y).sum(axis=1) / (2.0 * RUN))
+
+
 def near_pairs(posts: DataFrame, text: str, key: str, days: int = 3, least: float = 0.9) -> DataFrame:
     """Posts that repeat an earlier one of at most ``days`` before, by edit similarity of their whole texts, in lower case.
 
     Similarity is 1 - edit distance / longer length, so texts whose lengths are not within ``least`` of
     each other can't be alike: candidates share an entity, a block of days and a band of lengths, or a
-    neighbouring one. That loses no pair, and the join is an equi-join.
+    neighbouring one. That loses no pair, and the join is an equi-join. Before texts are compared, counts of their runs of
+    three characters say how many edits it takes at least: a pair of unlike texts costs its length, not its square.
     """
     p = posts.select(ENTITY, F.col(DATE).alias("d"), F.col(key).alias("k"), F.lower(text).alias("t")).where(F.length("t") > 0)
-    cell, band = F.floor(F.unix_date("d") / days), F.floor(F.log(F.length("t").cast("double")) / -math.log(least))
-    left = p.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    right = p.select(ENTITY, cell.alias("cell"), band.alias("band"), F.col("d").alias("d0"), F.col("k").alias("k0"), F.col("t").alias("t0"))
-    longer, shorter = F.greatest(F.length("t"), F.length("t0")), F.least(F.length("t"), F.length("t0"))
+    p = p.withColumns({"cell": F.floor(F.unix_date("d") / days), "band": F.floor(F.log(F.length("t").cast("double")) / -math.log(least)), "size": F.length("t")})
+    p = p.withColumn("runs", run_counts("t"))
+    left = p.withColumn("cell", F.explode(F.array("cell", F.col("cell") - 1))).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    right = p.select(ENTITY, "cell", "band", *(F.col(c).alias(f"{c}0") for c in ("d", "k", "t", "size", "runs")))
+    longer, shorter = F.greatest("size", "size0"), F.least("size", "size0")
     both = left.join(right, [ENTITY, "cell", "band"]).where(
         (F.col("d0") <= F.col("d")) & (F.date_diff("d", "d0") <= days) & ((F.col("d0") < F.col("d")) | (F.col("k0") < F.col("k"))) & (shorter >= least * longer)
     )
-    alike = 1 - F.levenshtein("t", "t0") / longer
+    # within a condition, as a filter on distances alone would be moved before the counts
+    alike = F.when(least_edits("runs", "runs0") <= (1 - least) * longer + 1e-6, 1 - F.levenshtein("t", "t0") / longer)
     return both.select(F.col("k").alias("later"), F.col("k0").alias("earlier"), F.round(alike, 6).alias("similarity")).distinct().where(F.col("similarity") > least)
 
 
+def first_of_equals(posts: DataFrame, text: str, key: str) -> DataFrame:
+    """``posts`` with ``first``: the smallest key of an entity's equal texts (in lower case) of one day.
+
+    What drops the first drops the others, and if it stays they fall by it; so only firsts need comparing.
+    """
+    same = posts.groupBy(F.col(ENTITY).alias("_e"), F.col(DATE).alias("_d"), F.xxhash64(F.lower(text)).alias("_h"), F.lower(text).alias("_t")).agg(F.min(key).alias("first"))
+    on = (F.col(ENTITY) == F.col("_e")) & (F.col(DATE) == F.col("_d")) & (F.xxhash64(F.lower(text)) == F.col("_h")) & (F.lower(text) == F.col("_t"))
+    return posts.join(same, on).drop("_e", "_d", "_h", "_t")
+
+
+def decided(pairs: DataFrame) -> DataFrame:
+    """Of the posts in ``pairs`` of later and earlier: ``k`` and ``kept``, as if posts were taken one by one in order.
+
+    A post falls by an earlier one that stays, not by one that fell itself. Each round decides the posts
+    of which some earlier neighbour stays, or of which all are decided: the first in order is always among
+    these, so rounds are as many as the longest alternation, and what is left is written between them.
+    """
+    edges = pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")).distinct()
+    nodes = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).distinct()
+    open_, left, found = stored(nodes), stored(edges), None
+    while not open_.isEmpty():
+        waiting = left.select(F.col("a").alias("k")).distinct()
+        stays = open_.join(waiting, "k", "left_anti")  # no earlier neighbour is left
+        falls = left.join(stays.withColumnRenamed("k", "b"), "b", "left_semi").select(F.col("a").alias("k")).distinct()
+        done = stored(stays.withColumn("kept", F.lit(True)).unionByName(falls.withColumn("kept", F.lit(False))))
+        rest = stored(open_.join(done, "k", "left_anti"))
+        gone = done.select("k")
+        edges_left = stored(left.join(gone.withColumnRenamed("k", "a"), "a", "left_anti").join(gone.withColumnRenamed("k", "b"), "b", "left_anti"))
+        dropped(open_, left)
+        open_, left = rest, edges_left
+        found = done if found is None else found.unionByName(done)
+    dropped(open_, left)
+    return nodes.limit(0).withColumn("kept", F.lit(True)) if found is None else found
+
+
+def without_near_copies(posts: DataFrame, text: str, key: str, days: int = 3, least: float = 0.9) -> DataFrame:
+    """``posts`` with ``kept``: false for one that repeats a kept earlier one of at most ``days`` before.
+
+    Order is by date, then key. Posts without an entity, a date or a text are kept; a repeated key is one post.
+    """
+    held = first_of_equals(posts.where(F.col(ENTITY).isNotNull() & F.col(DATE).isNotNull() & (F.length(text) > 0)).dropDuplicates([key]), text, key)
+    firsts = held.where(F.col("first") == F.col(key))
+    verdict = decided(near_pairs(firsts.select(ENTITY, DATE, key, text), text, key, days, least)).select(F.col("k").alias("_k"), F.col("kept").alias("_kept"))
+    fallen = verdict.where("not _kept").select(F.col("_k").alias(key)).unionByName(held.where(F.col("first") < F.col(key)).select(key)).distinct().withColumn("kept", F.lit(False))
+    return posts.join(fallen, key, "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+
+
 def statutory_date(period: Column | str) -> Column:
     """Last disclosure day of a report period: Q1 and year by 30 April, half by 31 August, Q3 by 31 October."""
     d = col(period)

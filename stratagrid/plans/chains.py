@@ -68,10 +68,12 @@ def text_daily(half_life: float = 7.0) -> Chain:
     ])
 
 
-def text_pre(half_life: float = 7.0, edge: float = 0.2) -> Chain:
-    """Noise out, then the side a post takes and its weight by age. Near copies are ``near_pairs``' work."""
+def text_pre(half_life: float = 7.0, edge: float = 0.2, key: str = "doc_id") -> Chain:
+    """Noise and near copies out, then the side a post takes and its weight by age."""
     side = F.when(F.col("score") > edge, 1).when(F.col("score") < -edge, -1).otherwise(0)
-    return Chain("text_pre", [*text_daily(half_life).steps[:2], plain("side", lambda df: df.withColumn("side", side)), text_daily(half_life).steps[2]])
+    noise, sentiment = text_daily(half_life).steps[:2]
+    copies = plain("copies", lambda df: text.without_near_copies(df, "text", key).where("kept").drop("kept"))
+    return Chain("text_pre", [noise, copies, sentiment, plain("side", lambda df: df.withColumn("side", side)), text_daily(half_life).steps[2]])
 
 
 def text_aggregate() -> Chain:

@@ -37,12 +37,11 @@ def clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.clean("html").cast("binary")).alias("digest"))
 
 
-@query("sf05_noise", "SELECT doc_id, length(text) < 5 OR regexp_full_match(text, '[^A-Za-z0-9]*') AS noise FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def noise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z")).select("doc_id", t.is_noise("text").alias("noise"))
+NOISE = "SELECT doc_id, length(text) < 5 OR regexp_full_match(text, '[^\\pL\\pN]*') AS noise FROM documents"
 
 
-@query("sf05_noise_all", "SELECT doc_id, length(text) < 5 OR regexp_full_match(text, '[^\\pL\\pN]*') AS noise FROM documents")
+@query("sf05_noise", NOISE)
+@query("sf05_noise_all", NOISE)
 def noise_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.is_noise("text").alias("noise"))
 
@@ -87,12 +86,24 @@ def best_posts(spark, sf_dir):
     return t.best_posts(posts(spark, sf_dir), ["entity", "date"], "text", "doc_id").select("entity", "date", "doc_id")
 
 
-@query("jn24_near_pairs", POSTS + """, p AS (SELECT entity, date AS d, doc_id AS k, lower(text) AS t, length(text) AS n FROM posts WHERE length(text) > 0),
+#: Pairs of posts alike, and one post after another, those that stay by entity.
+PAIRS = """p AS (SELECT entity, date AS d, doc_id AS k, lower(text) AS t, length(text) AS n FROM {posts} WHERE length(text) > 0),
 c AS MATERIALIZED (SELECT a.k AS later, b.k AS earlier, a.t AS t, b.t AS t0, greatest(a.n, b.n) AS n FROM p a JOIN p b ON a.entity = b.entity AND b.d <= a.d AND a.d - b.d <= 3 AND (b.d < a.d OR b.k < a.k) AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)),
-s AS (SELECT later, earlier, round(1 - levenshtein(t, t0) / CAST(n AS DOUBLE), 6) AS similarity FROM c)
-SELECT * FROM s WHERE similarity > 0.9""")
+sim AS MATERIALIZED (SELECT later, earlier, round(1 - levenshtein(t, t0) / CAST(n AS DOUBLE), 6) AS similarity FROM c WHERE 1 - levenshtein(t, t0) / CAST(n AS DOUBLE) > 0.89)"""
+KEPT = PAIRS + """, o AS MATERIALIZED (SELECT entity, k, row_number() OVER (PARTITION BY entity ORDER BY d, k) AS place FROM p WHERE k IN (SELECT later FROM sim WHERE similarity > 0.9 UNION SELECT earlier FROM sim WHERE similarity > 0.9)),
+taken AS (SELECT DISTINCT entity, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept FROM o
+  UNION ALL SELECT o.entity, o.place, CASE WHEN EXISTS (SELECT 1 FROM sim WHERE sim.later = o.k AND similarity > 0.9 AND list_contains(taken.kept, sim.earlier)) THEN taken.kept ELSE list_append(taken.kept, o.k) END FROM taken JOIN o ON o.entity = taken.entity AND o.place = taken.place + 1),
+fallen AS MATERIALIZED (SELECT k FROM o WHERE k NOT IN (SELECT unnest(kept) FROM (SELECT kept FROM taken QUALIFY place = max(place) OVER (PARTITION BY entity))))"""
+
+
+@query("jn24_near_pairs", POSTS + ", " + PAIRS.format(posts="posts") + " SELECT * FROM sim WHERE similarity > 0.9")
 def near_pairs(spark, sf_dir):
-    return t.near_pairs(posts(spark, sf_dir).withColumn("entity", F.col("entity")), "text", "doc_id")
+    return t.near_pairs(posts(spark, sf_dir), "text", "doc_id")
+
+
+@query("jn24_without_near_copies", POSTS.replace("WITH", "WITH RECURSIVE", 1) + ", " + KEPT.format(posts="posts") + " SELECT doc_id, doc_id NOT IN (SELECT k FROM fallen) AS kept FROM posts")
+def without_near_copies(spark, sf_dir):
+    return t.without_near_copies(posts(spark, sf_dir), "text", "doc_id").select("doc_id", "kept")
 
 
 @query("sf11_statutory_date", f"WITH bars AS ({BARS}) SELECT DISTINCT date, CASE WHEN month(date) <= 3 THEN make_date(year(date), 4, 30) WHEN month(date) <= 6 THEN make_date(year(date), 8, 31) WHEN month(date) <= 9 THEN make_date(year(date), 10, 31) ELSE make_date(year(date) + 1, 4, 30) END AS due FROM bars")

@@ -12,7 +12,7 @@ from stratagrid.plans import chains
 from stratagrid.plans.bars import daily
 from stratagrid.plans.registry import query
 from stratagrid.plans.sql import BARS, E, w
-from stratagrid.plans.text import POSTS, posts
+from stratagrid.plans.text import KEPT, POSTS, posts
 from stratagrid.session import shared_dir, table
 
 CLASSES = "SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date, CAST(CASE WHEN max(l_linenumber) < 5 THEN max(l_linenumber) END AS INT) AS class FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)"
@@ -82,7 +82,7 @@ def account_part(spark, sf_dir):
 SOUND = "length(text) >= 5 AND NOT regexp_full_match(text, '[^\\pL\\pN]*')"
 
 
-@query("chain_text_pre", POSTS + f""", s AS (SELECT * FROM posts WHERE {SOUND})
+@query("chain_text_pre", POSTS.replace("WITH", "WITH RECURSIVE", 1) + f""", sound AS (SELECT * FROM posts WHERE {SOUND}), {KEPT.format(posts="sound")}, s AS (SELECT * FROM sound WHERE doc_id NOT IN (SELECT k FROM fallen))
 SELECT doc_id, CASE WHEN score > 0.2 THEN 1 WHEN score < -0.2 THEN -1 ELSE 0 END AS side, round(power(0.5, date_diff('day', date, (SELECT max(date) FROM s)) / 7.0), 6) AS weight FROM s""")
 def chain_text_pre(spark, sf_dir):
     out = chains.text_pre().run(posts(spark, sf_dir).drop("score"))
