@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,7 +151,7 @@ def outlier_clip(df: DataFrame, x: str, k: float = 5.0, d: int = 252, least: int
 def robust_scale(df: DataFrame, x: str, d: int = 252, least: int = 63) -> DataFrame:
     """Clipped to mean +- 3 deviations, then (x - median) / (1.4826 MAD + eps), in +-1e4."""
     mean, dev = at_least(x, d, least), at_least(x, d, least, F.stddev_samp)
-    df = df.withColumn("_c", F.when(mean.isNotNull() & dev.isNotNull(), F.greatest(mean - 3 * dev, F.least(mean + 3 * dev, F.col(x)))).otherwise(F.col(x)))
+    df = df.withColumn("_c", F.when(mean.isNotNull() & dev.isNotNull() & F.col(x).isNotNull(), F.greatest(mean - 3 * dev, F.least(mean + 3 * dev, F.col(x)))).otherwise(F.col(x)))
     w = last_rows(d)
     df = df.withColumns({"_m": F.percentile("_c", F.lit(0.5)).over(w), "_l": F.collect_list("_c").over(w), "_n": F.count("_c").over(w)})
     mad = _median(F.transform("_l", lambda v: F.abs(v - F.col("_m"))))
@@ -167,41 +166,36 @@ def gap_lengths(df: DataFrame, x: str) -> DataFrame:
     return df.withColumn("gap", F.when(F.col(x).isNull(), F.count_if(F.col(x).isNull()).over(run)).otherwise(0)).drop("_i")
 
 
+def _gains(n: int) -> list[float]:
+    """How far a local level moves to the second and each further of ``n`` values: state variance 0.1, noise 1, from 1."""
+    var, out = 1.0, []
+    for _ in range(n - 1):
+        var += 0.1
+        out.append(var / (var + 1.0))
+        var *= 1 - out[-1]
+    return out
+
+
+PAST = 5
+GAINS = _gains(PAST)
+
+
 def imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
-    """Gaps up to ``short`` carry the last value on, up to ``long`` a local-level forecast, longer stay NULL; with ``has_gap``.
+    """Gaps up to ``short`` carry the last value on, up to ``long`` a local-level forecast of the last PAST values, longer stay NULL; with ``has_gap``.
 
-    The filter's recursion has no window form: each entity's rows are one pandas group.
+    The level needs the last values only, so it is folded where a value is, and carried over the gap behind
+    it. NaN is no value; before the first value nothing is filled, and one value alone is carried on.
     """
-    kinds = dict(df.dtypes)
-
-    def forecast(past: list[float]) -> float:
-        level, var = past[0], 1.0
-        for v in past[1:]:
-            var += 0.1
-            gain = var / (var + 1.0)
-            level, var = level + gain * (v - level), (1 - gain) * var
-        return level
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        values, out, seen, i = pdf[x].tolist(), [], [], 0
-        held = [None if v is None or v != v else v for v in values]
-        while i < len(held):
-            if held[i] is not None:
-                seen.append(held[i])
-                out.append(held[i])
-                i += 1
-                continue
-            j = i
-            while j < len(held) and held[j] is None:
-                j += 1
-            n = j - i
-            fill = None if not seen or n > long else seen[-1] if n <= short or len(seen) < 2 else forecast(seen[-5:])
-            out += [fill] * n
-            i = j
-        return pd.DataFrame({ENTITY: pdf[ENTITY], DATE: pdf[DATE], "filled": out, "has_gap": [v is None for v in held]})
-
-    return df.select(ENTITY, DATE, x).groupBy(ENTITY).applyInPandas(run, f"{ENTITY} {kinds[ENTITY]}, {DATE} {kinds[DATE]}, filled double, has_gap boolean")
+    rows = df.select(ENTITY, DATE, F.col(x).cast("double").alias("_v")).withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
+    seen = rows.where("_v is not null").withColumn("_past", F.collect_list("_v").over(last_rows(PAST)))
+    level = F.get("_past", F.lit(0))
+    for i, gain in enumerate(GAINS, 1):
+        level = F.when(F.size("_past") > i, level * (1 - gain) + F.get("_past", F.lit(i)) * gain).otherwise(level)
+    both = seen.select(ENTITY, DATE, "_v", level.alias("_level")).unionByName(rows.where("_v is null").withColumn("_level", F.lit(None).cast("double")))
+    held = both.withColumns({"_last": F.last("_v", ignorenulls=True).over(so_far()), "_level": F.last("_level", ignorenulls=True).over(so_far()), "_i": F.count("_v").over(so_far())})
+    held = held.withColumn("_gap", F.count_if(F.col("_v").isNull()).over(Window.partitionBy(ENTITY, "_i")))
+    fill = F.when(F.col("_gap") > long, None).when((F.col("_gap") <= short) | (F.col("_i") < 2), F.col("_last")).otherwise(F.col("_level"))
+    return held.select(ENTITY, DATE, F.coalesce("_v", fill).alias("filled"), F.col("_v").isNull().alias("has_gap"))
 
 
 def grid(bars: DataFrame) -> DataFrame:

@@ -58,6 +58,12 @@ def numeric(x: str, sector: str = "sector") -> Chain:
     ])
 
 
+def numeric_full(x: str, sector: str = "sector") -> Chain:
+    """The numeric chain, then scaled by median and deviation, with the moments of returns beside it."""
+    scaled = plain("scale", lambda df: series.robust_scale(df, "neutral"))
+    return Chain("numeric_full", [*numeric(x, sector).steps, scaled, plain("higher_order", lambda df: df.withColumns(series.higher_order()))])
+
+
 def text_daily(half_life: float = 7.0) -> Chain:
     """Noise out, sentiment, decay, then one row per entity and day."""
     return Chain("text", [

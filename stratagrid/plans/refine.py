@@ -13,7 +13,7 @@ from stratagrid.plans.bars import daily
 from stratagrid.plans.cross_section import HEAD, panel
 from stratagrid.plans.kernels import dev, mean, put
 from stratagrid.plans.registry import query
-from stratagrid.plans.series import DENSE
+from stratagrid.plans.series import DENSE, HIGHER_SQL, imputed_sql
 from stratagrid.plans.sql import BARS, PREPARED, SO_FAR, E, select, w
 from stratagrid.plans.text import POSTS, posts
 from stratagrid.session import table
@@ -132,10 +132,36 @@ def chain_text(spark, sf_dir):
     return out.select("entity", "date", "n", F.round("mean", 6).alias("mean"), F.round("decayed_mean", 6).alias("decayed_mean"))
 
 
-@query("cx09_chain_numeric")
+#: Changes of volume with gaps of 1, 4 and 12 rows, so that all rules of filling are met.
+HOLES = "CASE WHEN rn % 40 = 5 OR rn % 40 BETWEEN 10 AND 21 OR rn % 40 BETWEEN 30 AND 33 THEN NULL ELSE dv END"
+CHAIN = HEAD + f""", h AS (SELECT *, {HOLES} AS x FROM m), ha AS (SELECT *, count(x) OVER {w(252)} AS n, quantile_cont(x, 0.5) OVER {w(252)} AS md, list_filter(list(x) OVER {w(252)}, lambda v: v IS NOT NULL) AS l FROM h),
+hm AS (SELECT *, list_median(list_transform(l, lambda v: abs(v - md))) AS mad FROM ha),
+hc AS MATERIALIZED (SELECT * EXCLUDE (l), CASE WHEN n >= 10 AND mad > 1e-12 AND x IS NOT NULL THEN greatest(md - 5 * mad, least(md + 5 * mad, x)) ELSE x END AS clipped FROM hm), {imputed_sql("hc", "clipped")},
+hn AS (SELECT hc.* EXCLUDE (n), has_gap, CASE WHEN count(filled) OVER (PARTITION BY date, sector) >= 2 THEN filled - median(filled) OVER (PARTITION BY date, sector) ELSE filled END AS nt FROM hc JOIN im USING (entity, date)),
+hd AS (SELECT *, stddev_samp(nt) OVER {w(20)} AS fast, stddev_samp(nt) OVER {w(60)} AS slow FROM hn),
+hx AS MATERIALIZED (SELECT * EXCLUDE (fast, slow), nt * (1 + 0.5 * coalesce(CASE WHEN slow <> 0 AND fast IS NOT NULL THEN greatest(-0.5, least(1, (fast - slow) / slow)) END, 0)) AS neutral FROM hd)"""
+
+
+def holed(spark, sf_dir):
+    return panel(spark, sf_dir).withColumn("x", F.expr(HOLES))
+
+
+@query("cx09_chain_numeric", CHAIN + " SELECT entity, date, has_gap, round(neutral, 6) AS neutral FROM hx")
 def chain_numeric(spark, sf_dir):
-    df = panel(spark, sf_dir).select("entity", "date", "sector", "dv")
-    return chains.numeric("dv").run(df).select("entity", "date", F.round("neutral", 6).alias("neutral"))
+    df = holed(spark, sf_dir).select("entity", "date", "sector", "x")
+    return chains.numeric("x").run(df).select("entity", "date", "has_gap", F.round("neutral", 6).alias("neutral"))
+
+
+HIGHER = ["skew_20", "kurt_20", "rv_20", "drawdown_20", "up_ratio_20", "amihud", "vwap_gap"]
+
+
+@query("chain_numeric_full", CHAIN + f""", ra AS (SELECT *, CASE WHEN count(neutral) OVER {w(252)} >= 63 THEN avg(neutral) OVER {w(252)} END AS mu, CASE WHEN count(neutral) OVER {w(252)} >= 63 THEN stddev_samp(neutral) OVER {w(252)} END AS sd FROM hx),
+rb AS (SELECT *, CASE WHEN neutral IS NULL THEN NULL WHEN mu IS NOT NULL AND sd IS NOT NULL THEN greatest(mu - 3 * sd, least(mu + 3 * sd, neutral)) ELSE neutral END AS c FROM ra),
+rq AS (SELECT *, count(c) OVER {w(252)} AS n, quantile_cont(c, 0.5) OVER {w(252)} AS rm, list_filter(list(c) OVER {w(252)}, lambda v: v IS NOT NULL) AS l FROM rb)
+SELECT entity, date, round(CASE WHEN n >= 63 AND c IS NOT NULL THEN greatest(-1e4, least(1e4, (c - rm) / (1.4826 * list_median(list_transform(l, lambda v: abs(v - rm))) + greatest(1e-3 * abs(rm), 1e-6)))) END, 5) AS neutral_rs, """ + ", ".join(f"round({HIGHER_SQL[c]}, 5) AS {c}" for c in HIGHER) + " FROM rq")
+def chain_numeric_full(spark, sf_dir):
+    df = holed(spark, sf_dir).select("entity", "date", "sector", "x", "ret", "close", "volume", "amount")
+    return chains.numeric_full("x").run(df).select("entity", "date", *(F.round(c, 5).alias(c) for c in ["neutral_rs", *HIGHER]))
 
 
 @query("chain_concept", BRANDED + ", v AS (SELECT board, row_number() OVER (ORDER BY count(*) DESC, board) - 1 AS j FROM b WHERE date < DATE '1998-01-01' GROUP BY board HAVING count(*) >= 5) SELECT date, entity, " + ", ".join(f"max(CASE WHEN j = {j} THEN 1 ELSE 0 END) AS cb_{j}" for j in range(4)) + " FROM b LEFT JOIN v USING (board) GROUP BY 1, 2")

@@ -41,9 +41,10 @@ put("wo38_flat_target", s.flat_target, {"flat_return": f"(lead(close, 5) OVER {E
 put("wo25_expanding_share", lambda: {"share": s.expanding_share("volume")}, {"share": f"volume / max(volume) OVER {SO_FAR}"}, places=9)
 W20 = w(20)
 ten = lambda x: f"CASE WHEN count(ret) OVER {W20} >= 10 THEN {x} END"
-put("wo27_higher_order", s.higher_order, {
+HIGHER_SQL = {
     "skew_20": ten(f"skewness(ret) OVER {W20}"), "kurt_20": ten(f"kurtosis(ret) OVER {W20}"), "rv_20": ten(f"sqrt(sum(ret * ret) OVER {W20})"), "drawdown_20": f"close / max(close) OVER {W20} - 1",
-    "up_ratio_20": ten(f"avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0 END) OVER {W20}"), "amihud": "abs(ret) / (close * volume + 1)", "vwap_gap": "close * volume / amount - 1"})
+    "up_ratio_20": ten(f"avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0 END) OVER {W20}"), "amihud": "abs(ret) / (close * volume + 1)", "vwap_gap": "close * volume / amount - 1"}
+put("wo27_higher_order", s.higher_order, HIGHER_SQL)
 
 
 @query("wo11_divergence", sql({"divergence": f"CAST(sign({zl('ret')}) <> sign({zl('fs')}) AS INT)"}, f", q AS (SELECT *, {some('dv', 5, 1, 'sum')} AS fs FROM p)", "q"))
@@ -100,9 +101,26 @@ def gap_lengths(spark, sf_dir):
     return s.gap_lengths(s.grid(daily(spark, sf_dir)), "close").select(rounded("gap"))
 
 
-@query("wo30_imputed")
+def fold_sql(n: int) -> str:
+    """The local level after ``n`` values, the last of them ``x``."""
+    out = f"lag(x, {n - 1}) OVER {E}" if n > 1 else "x"
+    for i, gain in enumerate(s.GAINS[: n - 1], 1):
+        out = f"({out} * (1 - {gain!r}::DOUBLE) + {gain!r}::DOUBLE * {f'lag(x, {n - 1 - i}) OVER {E}' if n - 1 - i else 'x'})"
+    return out
+
+
+def imputed_sql(source: str, x: str, name: str = "im") -> str:
+    """CTEs that fill the gaps of column ``x`` of ``source`` into ``{name}`` (entity, date, filled, has_gap)."""
+    levels = " ".join(f"WHEN {n} THEN {fold_sql(n)}" for n in range(1, 5))
+    return f"""{name}v AS (SELECT entity, date, CASE row_number() OVER {E} {levels} ELSE {fold_sql(5)} END AS lev FROM (SELECT entity, date, {x} AS x FROM {source} WHERE {x} IS NOT NULL)),
+{name}c AS (SELECT s.entity, s.date, s.{x} AS x, last_value(s.{x} IGNORE NULLS) OVER {SO_FAR} AS keep, last_value(lev IGNORE NULLS) OVER {SO_FAR} AS lev, count(s.{x}) OVER {SO_FAR} AS i FROM {source} s LEFT JOIN {name}v USING (entity, date)),
+{name}g AS (SELECT *, count(*) FILTER (x IS NULL) OVER (PARTITION BY entity, i) AS gap FROM {name}c),
+{name} AS (SELECT entity, date, x IS NULL AS has_gap, CASE WHEN x IS NOT NULL THEN x WHEN gap > 10 THEN NULL WHEN gap <= 2 OR i < 2 THEN keep ELSE lev END AS filled FROM {name}g)"""
+
+
+@query("wo30_imputed", PREPARED + DENSE + ", " + imputed_sql("d", "close") + " SELECT entity, date, round(filled, 7) AS filled, has_gap FROM im")
 def imputed(spark, sf_dir):
-    return s.imputed(s.grid(daily(spark, sf_dir)), "close").withColumn("filled", F.round("filled", 6))
+    return s.imputed(s.grid(daily(spark, sf_dir)), "close").withColumn("filled", F.round("filled", 7))
 
 
 A5 = "(PARTITION BY entity ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
