@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from stratagrid.plans import aggregates, bars, catalog, channels, contracts, cross_section, folds, kernels, rankings, refine, selection, series, stores, streaming, technical, text, units, upkeep  # noqa: E402,F401
+from stratagrid.plans import aggregates, bars, catalog, channels, contracts, cross_section, folds, kernels, lineage, rankings, refine, roles, selection, series, stores, streaming, technical, text, units, upkeep  # noqa: E402,F401
