@@ -97,7 +97,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
                     g = seeds(h, mask, k)
                     at = np.flatnonzero(doc[: len(g)] == doc[SPAN - 1 :]) if len(g) else np.zeros(0, np.int64)
                     found.append((g[at], at))
-                for n in range(LEAST, SPAN + 1):
+                for n in range(1, SPAN + 1):
                     at = begin[:-1][counts == n]
                     for k, mask in enumerate(whole_masks(n)):
                         g = seeds(h, mask, n * 1000 + k)
@@ -116,10 +116,10 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"seed long, item_id {kind}, pos int, length int, item_words array<int>")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text), item_id, start: one row for each verified hit."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, key (digest of the text), items, start: one row for each verified place of a document and stretch that ``items`` share."""
     spark = docs.sparkSession
-    known = item_seeds(benchmark)
+    known = item_seeds(benchmark).groupBy("seed", "pos", "length", "item_words").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     slot = F.shiftrightunsigned("seed", 64 - BITS)
     cells = (
         known.select(slot.alias("slot"), "length")
@@ -144,6 +144,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     slots = (g >> np.uint64(64 - BITS)).astype(np.int64)
                     at = np.flatnonzero((bits[slots >> 5] >> (slots & 31).astype(np.uint32)) & np.uint32(1))
                     at = at[doc[at] == doc[at + span - 1]]
+                    if span < least:  # the whole text only
+                        at = at[counts[doc[at]] == span]
                     found.append((g[at], at))
                 g, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
                 if len(g):
@@ -166,21 +168,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     begin = F.greatest(F.lit(SIDE) - F.col("pos"), F.lit(0)) + 1
     whole = total(begin, F.least(F.col("length"), F.lit(WIDE + 1) - begin))
     ok = F.when(F.col("length") < REACH, whole >= F.col("length") - F.floor(F.col("length") / SHORT)).otherwise(best >= REACH - SPARE)
-    return both.withColumn("same", same).where(ok).select("doc_id", "key", "item_id", "start")
+    return both.withColumn("same", same).where(ok).select("doc_id", "key", "items", "start")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document with an overlap: doc_id, its items, their number, verified hits and the first word hit."""
-    return overlaps(docs, benchmark).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
-        F.count_distinct("item_id").alias("n_items"),
-        F.count("*").alias("n_hits"),
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """Per document with an overlap: doc_id, its items, their number, verified hits (places times items) and the first word hit."""
+    found = overlaps(docs, benchmark, least).groupBy("doc_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
+        F.sum(F.size("items")).alias("n_hits"),
         F.min("start").alias("first_word"),
     )
+    # an item without an id is found, but isn't one of the ids
+    ids = F.array_compact("item_ids")
+    return found.select("doc_id", ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), "n_hits", "first_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """Documents whose text overlaps no item."""
-    bad = overlaps(docs, benchmark).select(F.col("key").alias("_bad")).distinct()
+    bad = overlaps(docs, benchmark, least).select(F.col("key").alias("_bad")).distinct()
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("own"))
     return own.join(bad, F.col("own") == F.col("_bad"), "left_anti").select("row.*")

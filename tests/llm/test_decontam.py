@@ -13,7 +13,7 @@ def brute(docs, items):
     for i, t in docs:
         w = words(t)
         for k, v in held:
-            if len(v) < decontam.LEAST:
+            if not v or len(v) < decontam.LEAST and w != v:
                 continue
             reach = min(decontam.REACH, len(v))
             spare = decontam.SPARE if len(v) >= decontam.REACH else len(v) // 8
@@ -50,8 +50,30 @@ def test_substituted_words(spark):
 
 def test_short_items_case_and_marks(spark):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c"), (3, None), (4, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "Say: One, two; THREE four -- five six!"), (2, "a b c"), (3, "one two three four five")], "doc_id long, text string")
-    assert [(r.doc_id, r.item_ids) for r in decontam.contaminated(docs, items).collect()] == [(1, [1])]
+    docs = spark.createDataFrame([(1, "Say: One, two; THREE four -- five six!"), (2, "a b c"), (3, "one two three four five"), (4, "it is a b c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_ids) for r in decontam.contaminated(docs, items).collect()) == [(1, [1]), (2, [2])]
+
+
+def test_items_of_few_words_are_whole_texts_or_runs(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha"), (3, "Alpha, beta!"), (4, "alpha beta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta y"), (2, "Alpha -- beta"), (3, "ALPHA"), (4, "beta alpha"), (5, "alpha beta gamma delta")], "doc_id long, text string")
+    found = lambda **k: sorted((r.doc_id, r.item_ids, r.n_items) for r in decontam.contaminated(docs, items, **k).collect())
+    assert found() == [(2, [3, 4], 2), (3, [2], 1), (5, [1], 1)]
+    assert found(least=1) == [(1, [1, 2, 3, 4], 4), (2, [2, 3, 4], 3), (3, [2], 1), (4, [2], 1), (5, [1, 2, 3, 4], 4)]
+    assert found(least=4) == [(1, [1], 1), (2, [3, 4], 2), (3, [2], 1), (5, [1], 1)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [1, 4]
+
+
+def test_a_phrase_of_many_items_is_compared_once(spark):
+    phrase = " ".join(f"w{i}" for i in range(13))
+    items = spark.createDataFrame([(i, phrase if i % 2 else f"{phrase} own{i}") for i in range(40)], "item_id int, text string")
+    docs = spark.createDataFrame([(i, f"before {phrase} after") for i in range(50)], "doc_id int, text string")
+    places = decontam.overlaps(docs, items)
+    rows = decontam.contaminated(docs, items).collect()
+    assert len(rows) == 50 and all(r.item_ids == list(range(40)) for r in rows)
+    alone = decontam.overlaps(docs, items.where("item_id = 1")).where("doc_id = 3").count()
+    assert places.where("doc_id = 3 and size(items) >= 20").count() >= alone > 0
+    assert places.where("doc_id = 3").count() <= alone * 21  # those that end in words of their own are apart
 
 
 def test_odd_rows(spark, odd, empty):
