@@ -1,12 +1,16 @@
 """Stores of bars, posts and reports: schemas, pruned scans, versioned upserts, manifests, compaction.
 
 A version is written whole to its own folder and becomes current when its row is in the pointer table
-next to it; readers never see half a version, and a writer that dies leaves nothing that is read.
+next to it; readers never see half a version, and a writer that dies leaves nothing that is read. Numbers
+and commits are claimed by files that only one writer can make, so two writers lose neither's rows.
 All paths go through Spark, so any filesystem that Spark knows will do.
 """
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,19 +65,69 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/v{v:08d}")
 
 
-def write_version(df: DataFrame, root: str) -> int:
-    """A new version: the data first, then the pointer."""
+class Conflict(RuntimeError):
+    """Another writer has put a version on top of the same one."""
+
+
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the file; a file is made once, whoever tries.
+
+    Hadoop's local file system looks before it creates, so on local folders the operating system's exclusive create is asked.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        if fs.getUri().getScheme() == "file":
+            fs.mkdirs(at.getParent())
+            fd = os.open(fs.makeQualified(at).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            os.close(fd)
+        else:
+            fs.create(at, False).close()
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def write_version(df: DataFrame, root: str, after: int | None = -1) -> int:
+    """A new version: its number is claimed, then the data are written, then the pointer.
+
+    With ``after`` it is only committed on top of that version (None: as the first one), and a second
+    writer on top of the same one gets a Conflict; what it has written is never read.
+    """
     spark = df.sparkSession
     v = (current_version(spark, root) or 0) + 1
+    while not _claimed(spark, f"{root}/claims/v{v:08d}"):
+        v += 1
     df.write.mode("overwrite").parquet(f"{root}/v{v:08d}")
+    if after != -1 and not _claimed(spark, f"{root}/claims/after{after or 0:08d}"):
+        raise Conflict(f"{root}: another version was put after {after}")
     spark.range(1).select(F.lit(v).cast("int").alias("version")).write.mode("append").parquet(f"{root}/pointer")
     return v
 
 
-def upsert(new: DataFrame, root: str, keys: list[str]) -> int:
-    """The current version with ``new`` merged in, the last write winning, as a new version."""
-    v = current_version(new.sparkSession, root)
-    return write_version(new if v is None else last_write_wins(read_version(new.sparkSession, root, v), new, keys), root)
+def upsert(new: DataFrame, root: str, keys: list[str], tries: int = 20, wait: float = 3.0) -> int:
+    """The current version with ``new`` merged in, the last write winning, as a new version.
+
+    If another writer commits meanwhile, the merge is done again on top of what it wrote. A writer that
+    died between its claim and its pointer blocks others, which then raise Conflict: its claim in
+    ``claims`` is to be removed by hand.
+    """
+    spark = new.sparkSession
+    for left in range(tries, 0, -1):
+        base = current_version(spark, root)
+        merged = new if base is None else last_write_wins(read_version(spark, root, base), new, keys)
+        try:
+            return write_version(merged, root, base)
+        except Conflict:
+            if left == 1:
+                raise
+            until = time.monotonic() + wait
+            while current_version(spark, root) == base and time.monotonic() < until:
+                time.sleep(0.2)
+    raise AssertionError
 
 
 def manifest(df: DataFrame, keys: list[str]) -> DataFrame:
