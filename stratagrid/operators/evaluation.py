@@ -28,6 +28,29 @@ def ic_summary(ic: DataFrame, horizon: int = 1) -> DataFrame:
     return t.withColumn("v", var.scalar()).select("days", "mean", "dev", F.try_divide("mean", "dev").alias("ir"), "positive", F.try_divide(F.col("mean"), F.sqrt(F.col("v") / F.col("days"))).alias("t_stat"))
 
 
+def portfolio_returns(df: DataFrame, score: str, outcome: str, horizon: int = 5, top: float = 0.1, pool: Column | None = None) -> DataFrame:
+    """By date: the mean outcome of the best and of the worst names and their difference, for books that are renewed every ``horizon`` sessions.
+
+    Dates are numbered from 0; ``phase`` is the number modulo ``horizon``, and ``place`` orders all dates by phase and
+    date, as the phases' series are put one behind the other. Of the n names in the pool with a finite score and
+    outcome, a share of ``top`` (half at most, one at least) makes each book; ties go by entity. Dates
+    with fewer than two such names have no row but keep their number.
+    """
+    dates = df.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))  # a row a date
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    named = df.where(finite(score) & finite(outcome) & (F.lit(True) if pool is None else F.coalesce(pool, F.lit(False))))
+    by = Window.partitionBy("date")
+    ranked = named.withColumns({"_n": F.count("*").over(by), "_r": F.row_number().over(by.orderBy(F.desc(score), "entity"))}).where("_n >= 2")
+    size = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") / 2), F.rint(F.lit(top) * F.col("_n")).cast("long")))
+    ranked = ranked.withColumn("_k", size)
+    books = ranked.groupBy("date").agg(
+        F.max("_n").alias("n"), F.max("_k").alias("k"), F.avg(F.when(F.col("_r") <= F.col("_k"), F.col(outcome))).alias("long"), F.avg(F.when(F.col("_r") > F.col("_n") - F.col("_k"), F.col(outcome))).alias("short")
+    )
+    out = books.join(dates, "date").withColumn("phase", F.col("i") % horizon)
+    place = F.row_number().over(Window.orderBy("phase", "date")) - 1  # a row a date
+    return out.select("date", "phase", place.alias("place"), "n", "k", "long", "short", (F.col("long") - F.col("short")).alias("spread"))
+
+
 def equity(returns: DataFrame, r: str = "r") -> DataFrame:
     """date, r, equity (from 1) and drawdown of a daily series of returns."""
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

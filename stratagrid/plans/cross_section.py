@@ -147,3 +147,15 @@ def flagship(spark, sf_dir):
     z = (F.col("mom") - F.avg("mom").over(x)) / F.greatest(F.coalesce(F.stddev_samp("mom").over(x), F.lit(1.0)), F.lit(1e-8))
     best = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("z"), "entity"))
     return df.withColumn("z", z).withColumn("rank", best).where("rank <= 5").select("entity", "date", *(F.round(n, 6).alias(n) for n in ("ma_5", "volume_ratio", "z")), "rank")
+
+
+@query("ud11_portfolio_returns", HEAD + """, o AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM m)),
+f AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity) AS r FROM m WHERE member AND isfinite(score) AND isfinite(fwd)),
+k AS (SELECT *, greatest(1, least(n // 2, CAST(round_even(0.15::DOUBLE * n, 0) AS BIGINT))) AS k FROM f WHERE n >= 2),
+b AS (SELECT date, max(n) AS n, max(k) AS k, avg(fwd) FILTER (r <= k) AS long, avg(fwd) FILTER (r > n - k) AS short FROM k GROUP BY date)
+SELECT date, i % 5 AS phase, row_number() OVER (ORDER BY i % 5, date) - 1 AS place, n, k, round(long, 6) AS long, round(short, 6) AS short, round(long - short, 6) AS spread FROM b JOIN o USING (date)""")
+def portfolio_returns(spark, sf_dir):
+    from stratagrid.operators.evaluation import portfolio_returns as books
+
+    out = books(panel(spark, sf_dir), "score", "fwd", 5, 0.15, F.col("member"))
+    return out.select("date", *(F.col(c).cast("long").alias(c) for c in ("phase", "place", "n", "k")), *(F.round(c, 6).alias(c) for c in ("long", "short", "spread")))
