@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AS again FROM f)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN again THEN first_id END AS refers_to,
-               (payload_bytes + 237 + length(page_id::VARCHAR) + octet_length(encode(url)) + length(payload_bytes::VARCHAR)
-                + CASE WHEN again THEN 28 + length(first_id::VARCHAR) ELSE 0 END)::BIGINT AS record_bytes
+               (payload_bytes + 270 + length(page_id::VARCHAR) + octet_length(encode(url)) + length(payload_bytes::VARCHAR)
+                + CASE WHEN again THEN 108 + length(first_id::VARCHAR) ELSE 0 END)::BIGINT AS record_bytes
         FROM r""",
 }

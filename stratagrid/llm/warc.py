@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 MIN_REVISIT = 100
 CRLF = "\r\n"
+#: Fixed: what a revisit's header says it rests on, by the format's standard.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Pages have no date of their own; the standard asks for one, so all records carry the one given.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
-    """Archives a record for each row of ``pages`` (page_id, url, html) in ``path``."""
+def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
+    """Archives a record for each row of ``pages`` (page_id, url, html) in ``path``, all of one ``date``."""
     base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     base = base.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     stored = base.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(F.xxhash64("payload")).alias("low"), F.max(F.xxhash64("payload")).alias("high"))
@@ -38,8 +42,8 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind,
         F.lit(f"{CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit("")),
-        F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Refers-To: <urn:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.lit(">"))).otherwise(""),
+        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <urn:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.lit(">"))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF),
     )
     joined = narrow.join(first, F.col("digest") == F.col("of"))

@@ -51,3 +51,14 @@ def test_breaks_in_a_url_start_no_field(spark, tmp_path):
     warc.write_archive(pages, str(tmp_path / "a"))
     got = warc.described(warc.read_archive(spark, str(tmp_path / "a"))).collect()
     assert len(got) == len(urls) and all(r.record_type == "response" and r.refers_to is None for r in got)
+
+
+def test_headers_have_what_the_standard_asks_for(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a/", "same " * 30) for i in (1, 2)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "e"), "2024-05-06T07:08:09Z")
+    heads = {r.page_id: r.header.split("\r\n") for r in warc.read_archive(spark, str(tmp_path / "e")).collect()}
+    for i, lines in heads.items():
+        names = [x.split(": ")[0] for x in lines[1:-2]]
+        assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""] and len(set(names)) == len(names)
+        assert {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"} <= set(names) and "WARC-Date: 2024-05-06T07:08:09Z" in lines
+        assert ("WARC-Profile" in names) == ("WARC-Refers-To" in names) == (i == 2)
