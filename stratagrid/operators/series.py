@@ -201,12 +201,12 @@ def imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
 def grid(bars: DataFrame) -> DataFrame:
     """Every (entity, session) from an entity's first bar on, with bars where they are: the dense calendar that targets need.
 
-    Sessions are few (one row a date), so they are joined by a range on the entity's first date.
+    Sessions are few (one row a date): they travel as one sorted array, of which each entity unfolds the end.
     """
-    sessions = bars.select(DATE).distinct()
-    spans = bars.groupBy(ENTITY).agg(F.min(DATE).alias("_a"), F.max(DATE).alias("_b"))
-    last = bars.agg(F.max(DATE).alias("d"))
-    dense = spans.select(ENTITY, F.explode(F.sequence("_a", last.scalar(), F.expr("interval 1 day"))).alias(DATE)).join(sessions, DATE, "left_semi")
+    sessions = bars.select(DATE).distinct().agg(F.array_sort(F.collect_list(DATE)))
+    spans = bars.groupBy(ENTITY).agg(F.min(DATE).alias("_a")).withColumn("_d", sessions.scalar())
+    own = F.slice("_d", F.array_position("_d", F.col("_a")).cast("int"), F.size("_d"))
+    dense = spans.where("_a is not null").select(ENTITY, F.explode(own).alias(DATE))
     return dense.join(bars, [ENTITY, DATE], "left")
 
 

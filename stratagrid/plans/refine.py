@@ -103,10 +103,11 @@ def selected(spark, sf_dir):
     return r.selected(r.feature_ic(panel(spark, sf_dir), list(FEATS), "fwd", 5), 2).select("feature")
 
 
-@query("ud19_ridge")
+@query("ud19_ridge", HEAD + """, r AS (SELECT sum(score * score) + 1 AS a, sum(score * volume) AS b, sum(volume * volume) + 1 AS d, sum(score * fwd) AS p, sum(volume * fwd) AS q FROM m WHERE score IS NOT NULL AND volume IS NOT NULL AND fwd IS NOT NULL)
+SELECT 'score' AS feature, round((d * p - b * q) / (a * d - b * b), 9) AS weight FROM r UNION ALL SELECT 'volume', round((a * q - b * p) / (a * d - b * b), 9) FROM r""")
 def ridge(spark, sf_dir):
     w_ = r.ridge(panel(spark, sf_dir), ["score", "volume"], "fwd")
-    return spark.createDataFrame(sorted(w_.items()), "feature string, weight double")
+    return spark.createDataFrame(sorted((f, round(v, 9)) for f, v in w_.items()), "feature string, weight double")
 
 
 @query("md02_point_in_time_ratio", f"""WITH bars AS ({BARS}), f AS (SELECT l_suppkey AS entity, last_day(CAST(l_shipdate AS DATE)) AS date, sum(l_quantity) - 20 AS eps FROM lineitem GROUP BY 1, 2)

@@ -99,7 +99,39 @@ def recursive_with_sql(spark, sf_dir):
     return t.recursive(daily(spark, sf_dir)).select(rounded(*put_ewm))
 
 
-@query("wt06_21_recursive")
+def lowest(d: int) -> str:
+    return f"CASE WHEN rn >= {d} THEN (close - min(low) OVER {w(d)}) / {nz(f'(max(high) OVER {w(d)} - min(low) OVER {w(d)})')} * 100 END AS v{d}"
+
+
+def from_first(alpha: str, new: str, old: str) -> str:
+    """A recursive average that begins with its first value."""
+    return f"CASE WHEN {old} IS NULL THEN {new} ELSE {step(alpha, new, old)} END"
+
+
+def averages(d: int) -> str:
+    return f"{from_first('(1.0::DOUBLE / %d)' % d, 'greatest(q.dc, 0)', f's.g{d}')} AS g{d}, {from_first('(1.0::DOUBLE / %d)' % d, 'greatest(-q.dc, 0)', f's.l{d}')} AS l{d}"
+
+
+WIDE = nz("wide")
+#: Averages of gains and losses, of the close's place in its range, and of directed moves, a row at a time.
+MOVES = PREPARED.replace("WITH bars", "WITH RECURSIVE bars", 1) + f""",
+u AS (SELECT *, high - lag(high) OVER {E} AS ups, lag(low) OVER {E} - low AS downs, {lowest(9)}, {lowest(14)} FROM p),
+q AS MATERIALIZED (SELECT *, CASE WHEN ups > downs AND ups > 0 THEN ups ELSE 0 END AS plus, CASE WHEN downs > ups AND downs > 0 THEN downs ELSE 0 END AS minus FROM u),
+s AS (
+  SELECT entity, date, rn, CAST(NULL AS DOUBLE) AS g12, CAST(NULL AS DOUBLE) AS l12, CAST(NULL AS DOUBLE) AS g24, CAST(NULL AS DOUBLE) AS l24,
+         v9 AS k9, v9 AS d9, v14 AS k14, v14 AS d14, CAST(plus AS DOUBLE) AS pl, CAST(minus AS DOUBLE) AS mi, tr AS wide, CAST(0 AS DOUBLE) AS adx FROM q WHERE rn = 1
+  UNION ALL
+  SELECT entity, date, rn, g12, l12, g24, l24, k9, {from_first("(1.0::DOUBLE / 3)", "k9", "od9")}, k14, {from_first("(1.0::DOUBLE / 3)", "k14", "od14")}, pl, mi, wide,
+         {step("(1.0::DOUBLE / 14)", f"100 * abs(100 * pl / {nz('wide')} - 100 * mi / {nz('wide')}) / {nz(f'(100 * pl / {WIDE} + 100 * mi / {WIDE})')}", "oadx")}
+  FROM (SELECT q.entity, q.date, q.rn, {averages(12)}, {averages(24)}, {from_first("(1.0::DOUBLE / 3)", "q.v9", "s.k9")} AS k9, s.d9 AS od9, {from_first("(1.0::DOUBLE / 3)", "q.v14", "s.k14")} AS k14, s.d14 AS od14,
+          {step("(1.0::DOUBLE / 14)", "q.plus", "s.pl")} AS pl, {step("(1.0::DOUBLE / 14)", "q.minus", "s.mi")} AS mi, {step("(1.0::DOUBLE / 14)", "q.tr", "s.wide")} AS wide, s.adx AS oadx
+        FROM s JOIN q ON q.entity = s.entity AND q.rn = s.rn + 1) n)
+"""
+put_moves = {f"rsi_{d}": f"100 - 100 / (1 + g{d} / {nz(f'l{d}')})" for d in (12, 24)} | {f"kdj_{c}_{d}": e.format(d=d) for d in (9, 14) for c, e in (("k", "k{d}"), ("d", "d{d}"), ("j", "3 * k{d} - 2 * d{d}"))}
+put_moves |= {"pdi": f"100 * pl / {nz('wide')}", "mdi": f"100 * mi / {nz('wide')}", "adx": "adx", "adxr": f"(adx + lag(adx, 14) OVER {E}) / 2"}
+
+
+@query("wt06_21_recursive", select(put_moves, "s", head=MOVES))
 def recursive_rest(spark, sf_dir):
     rest = [n for n in t.RECURSIVE if n not in put_ewm]
     return t.recursive(daily(spark, sf_dir)).select(rounded(*rest))
