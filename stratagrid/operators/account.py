@@ -1,22 +1,20 @@
 """The sleeve account: h overlapping books, each opened with 1/h of the account and held h sessions.
 
-The account is a fold over days with cash and positions, one state for the whole book, so it is one
-pandas group; what it folds over is small (the names bought, a row a day and name). Selection, prices
-and exits are found by Spark before, over all rows.
+What a day's purchases bring back depends on their budget only as a factor: sold on one day, they return the
+budget times a number that Spark adds up over the names. So the account's fold over days runs over one row
+for each pair of a day of purchase and a day of sale, however many names were bought; the budgets it
+finds, one a day, go back to the positions by a join.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagrid.functions.windows import DATE, ENTITY, per_date
-
-LEDGER = "entity long, bought date, sold date, shares double, entry double, leave double, cost double, pnl double, outcome string"
-DAILY = "date date, nav double, cash double, positions int, exposure double"
+from stratagrid.operators.corruption import uniform
 
 
 def orders(dense: DataFrame, score: str, fraction: float, horizon: int) -> DataFrame:
@@ -40,51 +38,58 @@ def orders(dense: DataFrame, score: str, fraction: float, horizon: int) -> DataF
     return held.select(ENTITY, F.col(DATE).alias("decided"), "bought", "entry", F.col("_exit.d").alias("sold"), F.coalesce("_exit.o", "_last").alias("leave"), outcome.alias("outcome"))
 
 
-def _fold(pdf: pd.DataFrame, horizon: int, cost: float) -> tuple[list, list]:
-    cash, open_, days, ledger = 1.0, [], [], []
-    buys = {d: g for d, g in pdf.sort_values([DATE if DATE in pdf else "bought", ENTITY]).groupby("bought")}
-    sells = sorted({d for d in pdf["sold"] if d is not None and d == d})
-    for day in sorted(set(buys) | set(sells)):
-        for p in [p for p in open_ if p["sold"] == day]:
-            gain = p["shares"] * p["leave"]
-            fee = gain * cost
-            cash += gain - fee
-            p["cost"] += fee
-            ledger.append({**p, "pnl": gain - p["shares"] * p["entry"] - p["cost"]})
-            open_.remove(p)
-        held = sum(p["shares"] * p["entry"] for p in open_)
-        if day in buys:
-            budget = min((cash + held) / horizon, cash)
-            names = buys[day]
-            each = budget / len(names)
-            for r in names.itertuples():
-                shares = each / (r.entry * (1 + cost))
-                spent = shares * r.entry
-                cash -= spent * (1 + cost)
-                open_.append({"entity": r.entity, "bought": day, "sold": r.sold if r.sold == r.sold else None, "shares": shares, "entry": r.entry, "leave": r.leave, "cost": spent * cost, "outcome": r.outcome})
-        held = sum(p["shares"] * p["entry"] for p in open_)
-        days.append((day, cash + held, cash, len(open_), held / (cash + held)))
-    ledger += [{**p, "pnl": p["shares"] * (p["leave"] - p["entry"]) - p["cost"]} for p in open_]
-    return days, ledger
+BUDGETS = "date date, budget double, nav double, cash double, positions int, exposure double"
 
 
-def daily(bought: DataFrame, horizon: int, cost: float = 5e-4) -> DataFrame:
-    """The account by day: value at cost, cash, positions and exposure."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(pdf, horizon, cost)[0], columns=["date", "nav", "cash", "positions", "exposure"])
+def flows(bought: DataFrame) -> DataFrame:
+    """bought, sold, n, gain (sum of leave by entry) and names (all of the day): a row a pair of days."""
+    by = bought.groupBy("bought", "sold").agg(F.count("*").alias("n"), F.sum(F.col("leave") / F.col("entry")).alias("gain"))
+    return by.withColumn("names", F.sum("n").over(Window.partitionBy("bought")))
 
-    return bought.groupBy(F.lit(1).alias("book")).applyInPandas(run, DAILY)
 
+def budgets(bought: DataFrame, horizon: int, cost: float = 5e-4) -> DataFrame:
+    """By day with a purchase or a sale: what was spent, and the account's value at cost, cash, positions and exposure.
 
-def ledger(bought: DataFrame, horizon: int, cost: float = 5e-4) -> DataFrame:
-    """One row per filled position."""
+    The fold's rows are as many as pairs of days, a few times the calendar; names have been added up before.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["entity", "bought", "sold", "shares", "entry", "leave", "cost", "pnl", "outcome"]
-        return pd.DataFrame(_fold(pdf, horizon, cost)[1], columns=cols)
+        buys = {d: g["names"].iloc[0] for d, g in pdf.groupby("bought")}
+        sales = {d: list(zip(g["bought"], g["n"], g["gain"], strict=True)) for d, g in pdf.dropna(subset=["sold"]).sort_values("bought").groupby("sold")}
+        cash, held, count, spent, out = 1.0, 0.0, 0, {}, []
+        for day in sorted({*buys, *sales}):
+            for of, n, gain in sales.get(day, ()):
+                unit = spent[of] / (buys[of] * (1 + cost))  # shares times entry of each name
+                cash += unit * gain * (1 - cost)
+                held -= unit * n
+                count -= n
+            if day in buys:
+                spent[day] = min((cash + held) / horizon, cash)
+                cash -= spent[day]
+                held += spent[day] / (1 + cost)
+                count += buys[day]
+            held = held if count else 0.0
+            out.append((day, spent.get(day), cash + held, cash, int(count), held / (cash + held)))
+        return pd.DataFrame(out, columns=["date", "budget", "nav", "cash", "positions", "exposure"])
+
+    return flows(bought).groupBy(F.lit(1).alias("book")).applyInPandas(run, BUDGETS)
 
-    return bought.groupBy(F.lit(1).alias("book")).applyInPandas(run, LEDGER)
+
+def daily(bought: DataFrame, horizon: int, cost: float = 5e-4) -> DataFrame:
+    """The account by day: value at cost, cash, positions and exposure."""
+    return budgets(bought, horizon, cost).select(DATE, "nav", "cash", "positions", "exposure")
+
+
+def ledger(bought: DataFrame, horizon: int, cost: float = 5e-4) -> DataFrame:
+    """One row per filled position: its share of its day's budget, what it cost and brought."""
+    spent = budgets(bought, horizon, cost).where("budget is not null").select(F.col(DATE).alias("bought"), "budget")
+    names = bought.groupBy("bought").agg(F.count("*").alias("_n"))
+    held = bought.join(spent.join(names, "bought"), "bought")
+    value = F.col("budget") / (F.col("_n") * (1 + cost))
+    held = held.withColumn("shares", value / F.col("entry"))
+    gain = F.col("shares") * F.col("leave")
+    paid = value * cost + F.when(F.col("sold").isNotNull(), gain * cost).otherwise(0.0)
+    return held.select(F.col(ENTITY).cast("long").alias(ENTITY), "bought", "sold", "shares", "entry", "leave", paid.alias("cost"), (gain - value - paid).alias("pnl"), "outcome")
 
 
 def blended(a: DataFrame, b: DataFrame, w_a: float, w_b: float) -> DataFrame:
@@ -93,23 +98,23 @@ def blended(a: DataFrame, b: DataFrame, w_a: float, w_b: float) -> DataFrame:
     return both.select(DATE, (w_a * F.col("ea") + w_b * F.col("eb")).alias("equity"))
 
 
-def bootstrap_mean(returns: DataFrame, r: str, rounds: int = 2000, block: int = 1, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Confidence interval of a short daily series' mean from resampled blocks of days.
+def resampled(returns: DataFrame, r: str, rounds: int = 2000, block: int = 1, seed: int = 42) -> DataFrame:
+    """round and m: the mean of a daily series resampled in blocks of days, as often as it is long.
 
-    The series (a row a day) is one array; rounds are spread over tasks by their number, each with its own seed.
+    A block's start is a hash of the seed, the round and the block's number, so rounds are the same after a retry and on any
+    number of partitions. Days are numbered (a row a day) and joined to the days that rounds pick.
     """
-    series = returns.agg(F.array_sort(F.collect_list(F.struct(DATE, F.col(r).alias("v")))).alias("s")).select(F.transform("s", lambda x: x["v"]).alias("v"))
-    spread = returns.sparkSession.range(rounds).crossJoin(F.broadcast(series))  # one row with the series
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, v in zip(pdf["id"], pdf["v"]):
-                x, rng = np.asarray(v, float), np.random.default_rng([seed, i])
-                starts = rng.integers(0, max(1, len(x) - block + 1), -(-len(x) // block))
-                pick = (starts[:, None] + np.arange(block)).ravel()[: len(x)]
-                out.append(x[pick].mean())
-            yield pd.DataFrame({"m": out})
-
-    each = spread.mapInPandas(run, "m double")
+    days = returns.where(F.col(r).isNotNull()).select((F.row_number().over(Window.orderBy(DATE)) - 1).alias("i"), F.col(r).alias("v"))
+    n = days.agg(F.count("*").alias("n"))
+    picks = returns.sparkSession.range(rounds).select(F.col("id").alias("round"), n.scalar().alias("n")).where("n > 0")
+    picks = picks.withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.lit(float(block))) - 1).cast("int"))))
+    begin = F.floor(uniform(seed, "round", "j") * F.greatest(F.lit(1), F.col("n") - block + 1))
+    length = F.least(F.lit(block), F.col("n") - F.col("j") * block).cast("int")
+    picks = picks.select("round", F.explode(F.sequence(begin, begin + length - 1)).alias("i"))
+    return picks.join(days, "i").groupBy("round").agg(F.avg("v").alias("m"))
+
+
+def bootstrap_mean(returns: DataFrame, r: str, rounds: int = 2000, block: int = 1, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Confidence interval of a daily series' mean from resampled blocks of days."""
+    each = resampled(returns, r, rounds, block, seed)
     return each.agg(F.count("*").alias("rounds"), F.avg("m").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))

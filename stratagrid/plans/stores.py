@@ -11,7 +11,8 @@ from stratagrid.operators import evaluation as ev
 from stratagrid.plans.aggregates import BOOK, book
 from stratagrid.plans.bars import daily
 from stratagrid.plans.registry import query
-from stratagrid.plans.sql import BARS
+from stratagrid.plans.series import DENSE
+from stratagrid.plans.sql import BARS, PREPARED, E
 from stratagrid.session import shared_dir, table
 from stratagrid.sources import store
 
@@ -113,26 +114,55 @@ def reports(spark, sf_dir):
 
 
 def bought(spark, sf_dir):
-    dense = series.grid(daily(spark, sf_dir))
+    # prices of the table are random from day to day: held nearer to 1000, so that the account stays within a few digits
+    dense = series.grid(daily(spark, sf_dir)).withColumns({c: 1000 + (F.col(c) - 1000) / 50 for c in ("open", "close")})
     from stratagrid.functions.windows import before
 
     scored = dense.withColumn("score", F.try_divide(before("close"), before("close", 2)) - 1)
     return account.orders(scored, "score", 0.1, 5)
 
 
-@query("ud09_account_daily")
+AFTER = "(PARTITION BY entity ORDER BY date ROWS BETWEEN 6 FOLLOWING AND UNBOUNDED FOLLOWING)"
+#: Orders, their days numbered, and the account a day at a time with all budgets so far.
+ACCOUNT = PREPARED.replace("WITH bars", "WITH RECURSIVE bars", 1) + DENSE + f""", dp AS (SELECT entity, date, 1000 + (open - 1000) / 50 AS open, 1000 + (close - 1000) / 50 AS close FROM d), sc AS (SELECT *, lag(close) OVER {E} / lag(close, 2) OVER {E} - 1 AS score FROM dp),
+od AS (SELECT *, count(score) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, entity) AS place, lead(date) OVER {E} AS bought, lead(open) OVER {E} AS entry, lead(date, 6) OVER {E} AS due,
+  first_value(CASE WHEN open IS NOT NULL THEN date END IGNORE NULLS) OVER {AFTER} AS sold, first_value(open IGNORE NULLS) OVER {AFTER} AS leave, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM sc),
+bo AS MATERIALIZED (SELECT entity, bought, entry, sold, coalesce(leave, final) AS leave, CASE WHEN sold IS NULL THEN 'unresolved' WHEN sold > due THEN 'delayed' ELSE 'sold' END AS outcome, count(*) OVER (PARTITION BY bought) AS names
+  FROM od WHERE score IS NOT NULL AND place <= greatest(1, least(n, round_even(n * 0.1::DOUBLE, 0))) AND entry IS NOT NULL),
+dy AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT bought AS date FROM bo UNION SELECT sold FROM bo WHERE sold IS NOT NULL)),
+fl AS MATERIALIZED (SELECT x.i AS b, y.i AS s, count(*) / max(names) AS part, sum(leave / entry) / max(names) AS gain, count(*) AS n FROM bo JOIN dy x ON x.date = bought LEFT JOIN dy y ON y.date = sold GROUP BY 1, 2),
+ac AS (SELECT CAST(0 AS BIGINT) AS i, CAST(1 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS held, CAST([] AS DOUBLE[]) AS budgets, CAST(0 AS BIGINT) AS positions
+  UNION ALL SELECT i, cash - budget, held + budget / 1.0005::DOUBLE, list_append(budgets, budget), positions + news FROM
+   (SELECT *, CASE WHEN news > 0 THEN least((cash + held) / 5, cash) ELSE 0 END AS budget FROM
+    (SELECT ac.i + 1 AS i, cash + coalesce((SELECT sum(ac.budgets[fl.b] * gain) FROM fl WHERE fl.s = ac.i + 1), 0) / 1.0005::DOUBLE * 0.9995::DOUBLE AS cash,
+       held - coalesce((SELECT sum(ac.budgets[fl.b] * part) FROM fl WHERE fl.s = ac.i + 1), 0) / 1.0005::DOUBLE AS held, budgets,
+       positions - coalesce((SELECT sum(n) FROM fl WHERE fl.s = ac.i + 1), 0)::BIGINT AS positions, coalesce((SELECT sum(n) FROM fl WHERE fl.b = ac.i + 1), 0)::BIGINT AS news
+     FROM ac WHERE ac.i < (SELECT max(i) FROM dy)))),
+fi AS MATERIALIZED (SELECT i, cash, held, positions, budgets[-1] AS budget FROM ac WHERE i > 0)"""
+
+
+@query("ud09_account_daily", ACCOUNT + " SELECT date, round(cash + held, 7) AS nav, round(cash, 7) AS cash, positions, round(CASE WHEN positions > 0 THEN held / (cash + held) ELSE 0 END, 7) AS exposure FROM fi JOIN dy USING (i)")
 def account_daily(spark, sf_dir):
-    return account.daily(bought(spark, sf_dir), 5)
+    out = account.daily(bought(spark, sf_dir), 5)
+    return out.select("date", F.round("nav", 7).alias("nav"), F.round("cash", 7).alias("cash"), F.col("positions").cast("long").alias("positions"), F.round("exposure", 7).alias("exposure"))
 
 
-@query("ud09_account_ledger")
+@query("ud09_account_ledger", ACCOUNT + """, le AS (SELECT bo.*, budget / (names * 1.0005::DOUBLE) AS v FROM bo JOIN dy ON dy.date = bought JOIN fi USING (i)),
+lp AS (SELECT *, v / entry * leave AS gain, v * 0.0005::DOUBLE + CASE WHEN sold IS NOT NULL THEN v / entry * leave * 0.0005::DOUBLE ELSE 0 END AS paid FROM le)
+SELECT entity, bought, sold, round(v / entry, 9) AS shares, round(entry, 10) AS entry, round(leave, 10) AS leave, round(paid, 9) AS cost, round(gain - v - paid, 9) AS pnl, outcome FROM lp""")
 def account_ledger(spark, sf_dir):
-    return account.ledger(bought(spark, sf_dir), 5)
+    out = account.ledger(bought(spark, sf_dir), 5)
+    return out.select("entity", "bought", "sold", F.round("shares", 9).alias("shares"), F.round("entry", 10).alias("entry"), F.round("leave", 10).alias("leave"), F.round("cost", 9).alias("cost"), F.round("pnl", 9).alias("pnl"), "outcome")
 
 
-@query("ud07_bootstrap")
+@query("ud07_bootstrap", BOOK + f""", dn AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, r FROM r WHERE r IS NOT NULL), cn AS (SELECT count(*) AS n FROM dn),
+pk AS (SELECT a.round, b.j, n FROM cn, (SELECT unnest(range(500)) AS round) a, LATERAL (SELECT unnest(range(CAST(ceil(n / 5.0) AS BIGINT))) AS j) b),
+st AS (SELECT round, j, n, CAST(floor(((('0x' || substr(md5(concat_ws('|', '42', round::VARCHAR, j::VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / {16**13}.0::DOUBLE) * greatest(1, n - 4)) AS BIGINT) AS s FROM pk),
+ix AS (SELECT round, unnest(range(s, s + least(5, n - j * 5))) AS i FROM st), ms AS (SELECT round, avg(r) AS m FROM ix JOIN dn USING (i) GROUP BY 1)
+SELECT count(*) AS rounds, round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
 def bootstrap(spark, sf_dir):
-    return account.bootstrap_mean(book(spark, sf_dir), "r", 500, 5)
+    out = account.bootstrap_mean(book(spark, sf_dir), "r", 500, 5)
+    return out.select("rounds", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 @query("ud08_probabilistic_sharpe", BOOK + ", s AS (SELECT count(r) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) AS g3, kurtosis_pop(r) AS g4 FROM r) SELECT n, round(sr, 6) AS sr FROM s")

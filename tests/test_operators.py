@@ -78,6 +78,51 @@ def test_account_keeps_its_identity(spark):
     assert abs(days.nav.iloc[-1] - 1 - book[book.outcome != "unresolved"].pnl.sum() + book[book.outcome == "unresolved"].cost.sum()) < 1e-6
 
 
+def test_account_is_the_fold_over_positions(spark):
+    """Days and positions one by one, as a person would keep the book."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for day in range(40):
+        for name in range(rng.randrange(5)):
+            sold = None if rng.random() < 0.1 else day + 3 + rng.randrange(3)
+            rows.append((name, day, sold, rng.uniform(5, 20), rng.uniform(5, 20), "sold" if sold else "unresolved"))
+    start = datetime.date(2020, 1, 1)
+    at = lambda d: None if d is None else start + datetime.timedelta(days=d)
+    df = spark.createDataFrame([(e, at(b), at(s), x, y, o) for e, b, s, x, y, o in rows], "entity int, bought date, sold date, entry double, leave double, outcome string").repartition(5)
+    cash, held, days, book = 1.0, [], {}, {}
+    for day in range(50):
+        gone = [p for p in held if p["sold"] == day]
+        for p in gone:
+            gain = p["shares"] * p["leave"]
+            cash += gain * (1 - 0.001)
+            book[p["name"], p["day"]] = (p["shares"], p["cost"] + gain * 0.001, gain - p["shares"] * p["entry"] - p["cost"] - gain * 0.001)
+        held = [p for p in held if p["sold"] != day]
+        buys = [r for r in rows if r[1] == day]
+        if buys:
+            each = min((cash + sum(p["shares"] * p["entry"] for p in held)) / 4, cash) / len(buys)
+            for name, _, sold, entry, leave, _ in buys:
+                shares = each / (entry * 1.001)
+                cash -= shares * entry * 1.001
+                held.append({"name": name, "day": day, "sold": sold, "shares": shares, "entry": entry, "leave": leave, "cost": shares * entry * 0.001})
+        if gone or buys:
+            days[at(day)] = (cash + sum(p["shares"] * p["entry"] for p in held), cash, len(held))
+    book |= {(p["name"], p["day"]): (p["shares"], p["cost"], p["shares"] * (p["leave"] - p["entry"]) - p["cost"]) for p in held}
+    got = {r.date: (r.nav, r.cash, r.positions) for r in account.daily(df, 4, 0.001).collect()}
+    assert got.keys() == days.keys() and all(max(abs(a - b) for a, b in zip(got[d], days[d], strict=True)) < 1e-9 for d in days)
+    kept = {(r.entity, (r.bought - start).days): (r.shares, r.cost, r.pnl) for r in account.ledger(df, 4, 0.001).collect()}
+    assert kept.keys() == book.keys() and all(max(abs(a - b) for a, b in zip(kept[k], book[k], strict=True)) < 1e-9 for k in book)
+
+
+def test_bootstrap_is_the_same_on_any_partitions(spark):
+    df = spark.range(300).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.sin("id").alias("r"))
+    one, other = (sorted((r.round, round(r.m, 12)) for r in account.resampled(df.repartition(n), "r", 200, 7).collect()) for n in (1, 9))
+    assert one == other and len({m for _, m in one}) > 150
+    got = account.bootstrap_mean(df, "r", 200, 7).first()
+    assert got.rounds == 200 and got.low < got.mean < got.high and abs(got.mean - df.agg(F.avg("r")).first()[0]) < 0.02
+    assert account.bootstrap_mean(df.where("false"), "r").first().rounds == 0
+
+
 def test_codes(spark):
     raw = ["SH600001", "600001.SH", "1.0", "SZ600001", "abc", None, "000001.SZ", "1234567"]
     got = [r.code for r in spark.createDataFrame([(r,) for r in raw], "raw string").select(contracts.normal_code("raw").alias("code")).collect()]
