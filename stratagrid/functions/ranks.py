@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratagrid.functions.rolling import last
 from stratagrid.functions.windows import col
 
 
@@ -68,12 +69,13 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x < 0, tail).otherwise(1 - tail)
 
 
-def unbiased_skew(x: Column | str, frame) -> Column:
-    n = F.count(col(x)).over(frame).cast("double")
-    return F.when(n >= 3, F.skewness(col(x)).over(frame) * F.sqrt(n * (n - 1)) / (n - 2))
+def unbiased_skew(x: Column | str, d: int) -> Column:
+    """Of the last ``d`` rows."""
+    n = last(F.count, d, x).cast("double")
+    return F.when(n >= 3, last(F.skewness, d, x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def unbiased_kurtosis(x: Column | str, frame) -> Column:
-    """Excess kurtosis."""
-    n = F.count(col(x)).over(frame).cast("double")
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(col(x)).over(frame) + 6))
+def unbiased_kurtosis(x: Column | str, d: int) -> Column:
+    """Excess kurtosis of the last ``d`` rows."""
+    n = last(F.count, d, x).cast("double")
+    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * last(F.kurtosis, d, x) + 6))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagrid.functions.ranks import average_rank, centred_rank, normal_quantile
-from stratagrid.functions.windows import DATE, clip, col, correlation, last_rows, per_date
+from stratagrid.functions.rolling import last
+from stratagrid.functions.windows import DATE, clip, col, correlation, per_date
 
 FEW = 5
 
@@ -64,7 +65,7 @@ def plain_z(x: str) -> Column:
 
 def adaptive_strength(x: str) -> Column:
     """x stretched by up to half where its recent deviation departs from the longer one."""
-    fast, slow = (F.stddev_samp(x).over(last_rows(d)) for d in (20, 60))
+    fast, slow = (last(F.stddev_samp, d, x) for d in (20, 60))
     return F.col(x) * (1 + 0.5 * F.coalesce(clip(F.try_divide(fast - slow, slow), -0.5, 1.0), F.lit(0.0)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagrid.functions.ranks import unbiased_kurtosis, unbiased_skew
+from stratagrid.functions.rolling import last, mad, quantile, rolled
 from stratagrid.functions.windows import DATE, ENTITY, at_least, before, clip, col, full, last_rows, per_entity, returns, so_far
 
 LAGS = (1, 2, 3, 5, 10, 20)
@@ -125,38 +126,38 @@ def text_windows(x: str, spans=(3, 5, 10, 20)) -> dict[str, Column]:
 
 def higher_order() -> dict[str, Column]:
     """Needs ``ret``: unbiased skew and kurtosis, realised volatility, drawdown, share of gains, illiquidity, distance to VWAP."""
-    w = last_rows(20)
-    ten = lambda x: F.when(F.count("ret").over(w) >= 10, x)
+    ten = lambda x: F.when(last(F.count, 20, "ret") >= 10, x)
     return {
-        "skew_20": ten(unbiased_skew("ret", w)), "kurt_20": ten(unbiased_kurtosis("ret", w)), "rv_20": ten(F.sqrt(F.sum(F.col("ret") * F.col("ret")).over(w))),
-        "drawdown_20": F.col("close") / F.max("close").over(w) - 1, "up_ratio_20": ten(F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)).over(w)),
+        "skew_20": ten(unbiased_skew("ret", 20)), "kurt_20": ten(unbiased_kurtosis("ret", 20)), "rv_20": ten(F.sqrt(last(F.sum, 20, F.col("ret") * F.col("ret")))),
+        "drawdown_20": F.col("close") / last(F.max, 20, "close") - 1, "up_ratio_20": ten(last(F.avg, 20, F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0))),
         "amihud": F.abs("ret") / (F.col("close") * F.col("volume") + 1), "vwap_gap": F.try_divide(F.col("close") * F.col("volume"), F.col("amount")) - 1,
     }
 
 
-def _median(held: Column) -> Column:
-    s, n = F.array_sort(held), F.size(held)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-
 def outlier_clip(df: DataFrame, x: str, k: float = 5.0, d: int = 252, least: int = 10) -> DataFrame:
     """x held within median +- k MAD of the last d rows (itself among them), from row ``least`` on."""
-    w = last_rows(d)
-    df = df.withColumns({"_m": F.percentile(x, F.lit(0.5)).over(w), "_l": F.collect_list(x).over(w), "_n": F.count(x).over(w)})
-    df = df.withColumn("_mad", _median(F.transform("_l", lambda v: F.abs(v - F.col("_m")))))
-    held = F.greatest(F.col("_m") - k * F.col("_mad"), F.least(F.col("_m") + k * F.col("_mad"), F.col(x)))
-    return df.withColumn(f"{x}_clip", F.when((F.col("_n") >= least) & (F.col("_mad") > 1e-12) & F.col(x).isNotNull(), held).otherwise(F.col(x))).drop("_m", "_l", "_n", "_mad")
+
+    def clipped() -> dict[str, Column]:
+        mid, far, n = last(quantile(0.5), d, x), last(mad, d, x), last(F.count, d, x)
+        held = F.greatest(mid - k * far, F.least(mid + k * far, F.col(x)))
+        return {f"{x}_clip": F.when((n >= least) & (far > 1e-12) & F.col(x).isNotNull(), held).otherwise(F.col(x))}
+
+    return rolled(df, clipped)
 
 
 def robust_scale(df: DataFrame, x: str, d: int = 252, least: int = 63) -> DataFrame:
     """Clipped to mean +- 3 deviations, then (x - median) / (1.4826 MAD + eps), in +-1e4."""
-    mean, dev = at_least(x, d, least), at_least(x, d, least, F.stddev_samp)
-    df = df.withColumn("_c", F.when(mean.isNotNull() & dev.isNotNull() & F.col(x).isNotNull(), F.greatest(mean - 3 * dev, F.least(mean + 3 * dev, F.col(x)))).otherwise(F.col(x)))
-    w = last_rows(d)
-    df = df.withColumns({"_m": F.percentile("_c", F.lit(0.5)).over(w), "_l": F.collect_list("_c").over(w), "_n": F.count("_c").over(w)})
-    mad = _median(F.transform("_l", lambda v: F.abs(v - F.col("_m"))))
-    eps = F.greatest(1e-3 * F.abs("_m"), F.lit(1e-6))
-    return df.withColumn(f"{x}_rs", F.when(F.col("_n") >= least, clip((F.col("_c") - F.col("_m")) / (1.4826 * mad + eps), -1e4, 1e4))).drop("_c", "_m", "_l", "_n")
+
+    def held() -> dict[str, Column]:
+        mean, dev = at_least(x, d, least), at_least(x, d, least, F.stddev_samp)
+        return {"_c": F.when(mean.isNotNull() & dev.isNotNull() & F.col(x).isNotNull(), F.greatest(mean - 3 * dev, F.least(mean + 3 * dev, F.col(x)))).otherwise(F.col(x))}
+
+    def scaled() -> dict[str, Column]:
+        mid, n = last(quantile(0.5), d, "_c"), last(F.count, d, "_c")
+        eps = F.greatest(1e-3 * F.abs(mid), F.lit(1e-6))
+        return {f"{x}_rs": F.when(n >= least, clip((F.col("_c") - mid) / (1.4826 * last(mad, d, "_c") + eps), -1e4, 1e4))}
+
+    return rolled(rolled(df, held), scaled).drop("_c")
 
 
 def gap_lengths(df: DataFrame, x: str) -> DataFrame:
@@ -180,22 +181,27 @@ PAST = 5
 GAINS = _gains(PAST)
 
 
-def imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
-    """Gaps up to ``short`` carry the last value on, up to ``long`` a local-level forecast of the last PAST values, longer stay NULL; with ``has_gap``.
+def with_imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
+    """``df`` with ``filled`` and ``has_gap``: gaps up to ``short`` carry the last value on, up to ``long`` a local-level forecast of the last PAST values, longer stay NULL.
 
-    The level needs the last values only, so it is folded where a value is, and carried over the gap behind
-    it. NaN is no value; before the first value nothing is filled, and one value alone is carried on.
+    The level needs the last values only, so it is folded where a value is, over windows of the rows with one, and
+    carried over the gap behind it. NaN is no value; before the first value nothing is filled, and one value alone is carried on.
     """
-    rows = df.select(ENTITY, DATE, F.col(x).cast("double").alias("_v")).withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
-    seen = rows.where("_v is not null").withColumn("_past", F.collect_list("_v").over(last_rows(PAST)))
+    rows = df.withColumn("_v", F.col(x).cast("double")).withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
+    alike = Window.partitionBy(ENTITY, F.col("_v").isNull()).orderBy(DATE).rowsBetween(1 - PAST, 0)
     level = F.get("_past", F.lit(0))
     for i, gain in enumerate(GAINS, 1):
         level = F.when(F.size("_past") > i, level * (1 - gain) + F.get("_past", F.lit(i)) * gain).otherwise(level)
-    both = seen.select(ENTITY, DATE, "_v", level.alias("_level")).unionByName(rows.where("_v is null").withColumn("_level", F.lit(None).cast("double")))
-    held = both.withColumns({"_last": F.last("_v", ignorenulls=True).over(so_far()), "_level": F.last("_level", ignorenulls=True).over(so_far()), "_i": F.count("_v").over(so_far())})
+    held = rows.withColumn("_past", F.collect_list("_v").over(alike)).withColumn("_level", F.when(F.col("_v").isNotNull(), level)).drop("_past")
+    held = held.withColumns({"_last": F.last("_v", ignorenulls=True).over(so_far()), "_level": F.last("_level", ignorenulls=True).over(so_far()), "_i": F.count("_v").over(so_far())})
     held = held.withColumn("_gap", F.count_if(F.col("_v").isNull()).over(Window.partitionBy(ENTITY, "_i")))
     fill = F.when(F.col("_gap") > long, None).when((F.col("_gap") <= short) | (F.col("_i") < 2), F.col("_last")).otherwise(F.col("_level"))
-    return held.select(ENTITY, DATE, F.coalesce("_v", fill).alias("filled"), F.col("_v").isNull().alias("has_gap"))
+    return held.withColumns({"filled": F.coalesce("_v", fill), "has_gap": F.col("_v").isNull()}).drop("_v", "_level", "_last", "_i", "_gap")
+
+
+def imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
+    """entity, date, ``filled`` and ``has_gap`` alone, see ``with_imputed``."""
+    return with_imputed(df.select(ENTITY, DATE, x), x, short, long).select(ENTITY, DATE, "filled", "has_gap")
 
 
 def grid(bars: DataFrame) -> DataFrame:

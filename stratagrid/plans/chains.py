@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagrid.functions.rolling import rolled
 from stratagrid.operators import aggregates, series, text
 from stratagrid.operators import cross_section as cs
 
@@ -45,23 +46,18 @@ def plain(name: str, f: Callable[[DataFrame], DataFrame]) -> Step:
 
 def numeric(x: str, sector: str = "sector") -> Chain:
     """Outliers held, gaps filled by entity, then neutral to the sector and stretched by strength."""
-
-    def fill(df: DataFrame) -> DataFrame:
-        found = series.imputed(df, f"{x}_clip")
-        return df.join(found, ["entity", "date"], "left")
-
     return Chain("numeric", [
         plain("outlier", lambda df: series.outlier_clip(df, x)),
-        plain("missing", fill),
+        plain("missing", lambda df: series.with_imputed(df, f"{x}_clip")),
         plain("sector", lambda df: df.withColumn("neutral", cs.sector_neutral("filled", sector))),
-        plain("adaptive", lambda df: df.withColumn("neutral", cs.adaptive_strength("neutral"))),
+        plain("adaptive", lambda df: rolled(df, lambda: {"strong": cs.adaptive_strength("neutral")}).drop("neutral").withColumnRenamed("strong", "neutral")),
     ])
 
 
 def numeric_full(x: str, sector: str = "sector") -> Chain:
     """The numeric chain, then scaled by median and deviation, with the moments of returns beside it."""
     scaled = plain("scale", lambda df: series.robust_scale(df, "neutral"))
-    return Chain("numeric_full", [*numeric(x, sector).steps, scaled, plain("higher_order", lambda df: df.withColumns(series.higher_order()))])
+    return Chain("numeric_full", [*numeric(x, sector).steps, scaled, plain("higher_order", lambda df: rolled(df, series.higher_order))])
 
 
 def text_daily(half_life: float = 7.0) -> Chain:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratagrid.functions.ranks import sql_normal_quantile
+from stratagrid.functions.rolling import rolled
 from stratagrid.functions.windows import before, rounded
 from stratagrid.operators import cross_section as c
 from stratagrid.operators.technical import prepared
@@ -57,7 +58,7 @@ put("cx06_rank_normal", lambda df: df.withColumn("g", c.rank_normal("ret")), {"g
 k AS (SELECT *, count(ret) OVER {X} AS n, {rank_sql('ret')} AS r FROM m),
 k2 AS (SELECT *, greatest(1.0::DOUBLE / (n + 1), least(1 - 1.0::DOUBLE / (n + 1), (r::DOUBLE - 0.5) / n)) AS q FROM k)""", "k2")
 put("cx07_plain_z", lambda df: df.withColumn("z", c.plain_z("close")), {"z": f"(close - avg(close) OVER {X}) / (CASE WHEN stddev_samp(close) OVER {X} = 0 THEN 1 ELSE stddev_samp(close) OVER {X} END)"})
-put("cx08_adaptive_strength", lambda df: df.withColumn("a", c.adaptive_strength("ret")), {"a": f"ret * (1 + 0.5 * CASE WHEN (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0) IS NULL THEN 0 ELSE greatest(-0.5, least(1, (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0))) END)"})
+put("cx08_adaptive_strength", lambda df: rolled(df, lambda: {"a": c.adaptive_strength("ret")}), {"a": f"ret * (1 + 0.5 * CASE WHEN (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0) IS NULL THEN 0 ELSE greatest(-0.5, least(1, (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0))) END)"})
 put("cx10_sector_relative", lambda df: df.withColumn("r", c.relative_to_sector("close")).withColumn("high", c.above_quantile("close", 0.8).cast("int")), {"r": f"CASE WHEN abs(median(close) OVER {XS}) <= 1e-8 THEN 1 ELSE close / median(close) OVER {XS} END", "high": f"CAST(close > quantile_cont(close, 0.8) OVER {X} AS INT)"})
 put("cx13_quantile_rank", lambda df: c.with_quantile_rank(df, "ret"), {"qr": f"CASE WHEN count(g) OVER {X} = 1 THEN CASE WHEN ret > 0 THEN 0.5 END WHEN g IS NOT NULL THEN {rank_sql('g')} / count(g) OVER {X} END"}, ", k AS (SELECT *, CASE WHEN ret > 0 THEN ret END AS g FROM m)", "k")
 put("cx14_target_z", lambda df: df.withColumn("z", c.target_z("fwd")), {"z": f"CASE WHEN count(fwd) OVER {X} >= 5 THEN (fwd - avg(fwd) OVER {X}) / greatest(stddev_pop(fwd) OVER {X}, 1e-8) END"})
