@@ -27,10 +27,11 @@ def orders(dense: DataFrame, score: str, fraction: float, horizon: int) -> DataF
     n = F.count(F.col(score)).over(per_date())
     k = F.greatest(F.lit(1), F.least(n, F.bround(n * F.lit(fraction))))
     place = F.row_number().over(Window.partitionBy(DATE).orderBy(F.desc_nulls_last(score), ENTITY))
-    after = w.rowsBetween(horizon + 1, Window.unboundedFollowing)
+    # rows to come, last one first: a frame that grows is one step a row, one that shrinks is all rows again
+    after = Window.partitionBy(ENTITY).orderBy(F.desc(DATE)).rowsBetween(Window.unboundedPreceding, -horizon - 1)
     df = dense.withColumns({
         "_k": k, "_p": place, "bought": F.lead(DATE, 1).over(w), "entry": F.lead("open", 1).over(w),
-        "_exit": F.first(F.when(F.col("open").isNotNull(), F.struct(F.col(DATE).alias("d"), F.col("open").alias("o"))), ignorenulls=True).over(after), "_due": F.lead(DATE, horizon + 1).over(w),
+        "_exit": F.last(F.when(F.col("open").isNotNull(), F.struct(F.col(DATE).alias("d"), F.col("open").alias("o"))), ignorenulls=True).over(after), "_due": F.lead(DATE, horizon + 1).over(w),
         "_last": F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
     held = df.where(F.col(score).isNotNull() & (F.col("_p") <= F.col("_k")) & F.col("entry").isNotNull())
