@@ -255,7 +255,10 @@ def eligibility(dense: DataFrame, seq: int = 60, least: int = 50, amount: float
 
 
 def intraday(events: DataFrame, x: str = "value") -> DataFrame:
-    """Per (entity, day) of a tick table: place in the day, minutes since its start, opening move, running range position."""
+    """Per (entity, day) of a tick table: place in the day, minutes since its start, opening move, running range position.
+
+    The move from a first value of 0 is infinite (from 0 to 0: NaN), which isn't the NULL of a day with one value.
+    """
     day = F.to_date("ts")
     df = events.withColumn("day", day)
     order = Window.partitionBy("entity", "day").orderBy("ts", "event_id")
@@ -263,8 +266,10 @@ def intraday(events: DataFrame, x: str = "value") -> DataFrame:
     minute = F.hour("ts") * 60 + F.minute("ts")
     top, bottom = F.max(x).over(run), F.min(x).over(run)
     first, second = F.first(x).over(whole), F.nth_value(x, 2).over(whole)
+    of_zero = F.when(second > 0, float("inf")).when(second < 0, float("-inf")).when(second == 0, float("nan"))
+    move = F.when(first == 0, of_zero).otherwise(F.try_divide(second, first) - 1)
     return df.withColumns({
-        "bar_of_day": F.row_number().over(order), "minute": minute, "is_am": minute.between(571, 690), "is_pm": minute.between(781, 900), "opening_move": F.try_divide(second, first) - 1,
+        "bar_of_day": F.row_number().over(order), "minute": minute, "is_am": minute.between(571, 690), "is_pm": minute.between(781, 900), "opening_move": move,
         "range_position": F.when(top == bottom, 0.5).otherwise(F.try_divide(F.col(x) - bottom, top - bottom)),
     })
 

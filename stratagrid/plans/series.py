@@ -148,7 +148,7 @@ SELECT event_id, row_number() OVER o AS bar_of_day, minute, minute BETWEEN 571 A
 WINDOW o AS (PARTITION BY entity, day ORDER BY ts, event_id), r AS (PARTITION BY entity, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY entity, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def intraday(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("entity", F.col("user_id"))
-    return s.intraday(e).select("event_id", "bar_of_day", F.col("minute").cast("long").alias("minute"), "is_am", "is_pm", *(F.round(c, 6).alias(c) for c in ("opening_move", "range_position")))
+    return s.intraday(e).select("event_id", "bar_of_day", F.col("minute").cast("long").alias("minute"), "is_am", "is_pm", *((F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("opening_move", "range_position")))
 
 
 @query("wo39_pledges", sql({"balance": "b", "balance_max20": f"max(b) OVER {W20}"}, f", a AS (SELECT *, sum(CASE WHEN up THEN volume ELSE -volume END) OVER {SO_FAR} AS c FROM p), q AS (SELECT *, c - least(0, min(c) OVER {SO_FAR}) AS b FROM a)", "q"))
