@@ -6,11 +6,15 @@ Plain ``groupBy`` throughout: Spark aggregates on the map side first. Orders tha
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagrid.functions.windows import DATE, ENTITY
+from stratagrid.operators.selection import positions
+from stratagrid.session import stored
 
 
 def block_days(events: DataFrame, premium: str, amount: str, volume: str, note: str, marks: dict[str, str]) -> DataFrame:
@@ -133,10 +137,30 @@ def ks(base: DataFrame, now: DataFrame, x: str) -> DataFrame:
     return run.agg(F.max(F.abs(F.col("ra") / total.select("na").scalar() - F.col("rb") / total.select("nb").scalar())).alias("ks"))
 
 
+def quantiles(rows: DataFrame, x: str, shares: list[float]) -> DataFrame:
+    """One row, ``e``: the interpolated quantiles of ``x`` without NULL, in the order of ``shares``; empty without any value.
+
+    Values are counted first and counts added up by ranges (``positions``), so no task holds all values.
+    """
+    at = positions(rows.where(F.col(x).isNotNull()).groupBy(F.lit("x").alias("feature"), F.col(x).cast("double").alias("value")).agg(F.count("*").alias("n")))
+    place = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    inside = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    ends = [(f(place(p)), f"{n}{i}") for i, p in enumerate(shares) for n, f in (("low", F.floor), ("high", F.ceil))]
+    few = at.where(functools.reduce(lambda a, b: a | b, (inside(k) for k, _ in ends)))
+    one = few.agg(F.max("total").alias("total"), *(F.max(F.when(inside(k), F.col("value"))).alias(n) for k, n in ends))
+
+    def between(i: int, p: float) -> Column:
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        return F.when(low == high, low).otherwise((F.ceil(place(p)) - place(p)) * low + (place(p) - F.floor(place(p))) * high)
+
+    return one.select(F.array_compact(F.array(*(between(i, p) for i, p in enumerate(shares)))).alias("e"))
+
+
 def psi(base: DataFrame, now: DataFrame, x: str, bins: int = 10) -> DataFrame:
     """Population stability index on pooled decile edges, from density histograms."""
     both = base.select(F.col(x).alias("v"), F.lit(0).alias("side")).unionByName(now.select(F.col(x).alias("v"), F.lit(1).alias("side"))).where("v is not null")
-    edges = both.select(F.array_sort(F.array_distinct(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(bins + 1)))))).alias("e"))
+    both = stored(both)  # read twice: for the edges and for the counts
+    edges = quantiles(both, "v", [i / bins for i in range(bins + 1)]).select(F.array_sort(F.array_distinct("e")).alias("e"))
     put = both.withColumn("e", edges.scalar()).withColumn("k", F.least(F.size("e") - 2, F.size(F.filter("e", lambda q: q <= F.col("v"))) - 1))
     by = put.groupBy("k").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), F.max(F.get("e", F.col("k") + 1) - F.get("e", F.col("k"))).alias("width"))
     w = Window.partitionBy()  # at most ``bins`` rows
