@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stratagrid.operators import account, aggregates, series
+from stratagrid.operators import account, aggregates, series, text
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -45,3 +45,11 @@ def test_quantiles_without_a_map_of_all_values(spark):
         got = aggregates.quantiles(df, "v", shares).first().e
         assert len(got) == len(want) and all(abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))
     assert " percentile(" not in plan(aggregates.quantiles(df, "v", shares)) and "[percentile(" not in plan(aggregates.quantiles(df, "v", shares))
+
+
+def test_distances_stop_where_no_pair_can_be(spark):
+    texts = ["a" * 40, "a" * 37 + "bcd", "a" * 36 + "bcde", "A" * 40, "a" * 39]
+    df = spark.createDataFrame([(1, DAY, k, t) for k, t in enumerate(texts)], "entity int, date date, k int, t string")
+    found = text.near_pairs(df, "t", "k")
+    assert {(r.later, r.earlier): r.similarity for r in found.collect()} == {(1, 0): 0.925, (2, 1): 0.95, (3, 0): 1.0, (3, 1): 0.925, (4, 0): 0.975, (4, 1): 0.925, (4, 3): 0.975}
+    assert "ceil" in plan(found)
