@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from stratagrid.functions.ranks import unbiased_kurtosis, unbiased_skew
@@ -204,16 +205,28 @@ def imputed(df: DataFrame, x: str, short: int = 2, long: int = 10) -> DataFrame:
     return with_imputed(df.select(ENTITY, DATE, x), x, short, long).select(ENTITY, DATE, "filled", "has_gap")
 
 
+#: Rows of the dense grid that a task holds, about; at least one entity.
+GRID_ROWS = 1 << 18
+
+
 def grid(bars: DataFrame) -> DataFrame:
     """Every (entity, session) from an entity's first bar on, with bars where they are: the dense calendar that targets need.
 
-    Sessions are few (one row a date): they travel as one sorted array, of which each entity unfolds the end.
+    Sessions are few (one row a date), numbered by the driver and sent to all tasks. Each bar unfolds the sessions up to its entity's next one
+    in its own task, so nothing of the grid is joined or shuffled; tasks grow in number with the grid. Rows
+    of no entity have no bars.
     """
-    sessions = bars.select(DATE).distinct().agg(F.array_sort(F.collect_list(DATE)))
-    spans = bars.groupBy(ENTITY).agg(F.min(DATE).alias("_a")).withColumn("_d", sessions.scalar())
-    own = F.slice("_d", F.array_position("_d", F.col("_a")).cast("int"), F.size("_d"))
-    dense = spans.where("_a is not null").select(ENTITY, F.explode(own).alias(DATE))
-    return dense.join(bars, [ENTITY, DATE], "left")
+    found = bars.agg(F.approx_count_distinct(ENTITY).alias("entities"), F.collect_set(DATE).alias("days")).first()
+    days = sorted(found["days"])
+    numbers = bars.sparkSession.createDataFrame([(d, i) for i, d in enumerate(days)], StructType([StructField("_d", bars.schema[DATE].dataType), StructField("_n", IntegerType())]))
+    parts = max(1, math.ceil((found["entities"] + 1) * len(days) / GRID_ROWS))
+    held = bars.join(F.broadcast(numbers), F.col(DATE) == F.col("_d")).drop("_d").repartition(parts, ENTITY).withColumn("_next", F.lead("_n").over(per_entity()))
+    until = F.coalesce(F.col("_next") - 1, F.lit(len(days) - 1))
+    rows = held.withColumn("_i", F.explode(F.sequence("_n", F.greatest("_n", until))))
+    own = (F.col("_i") == F.col("_n")) & F.col(ENTITY).isNotNull()
+    values = [F.when(own, F.col(c)).alias(c) for c in bars.columns if c not in (ENTITY, DATE)]
+    dates = numbers.select(F.col("_d").alias("_date"), F.col("_n").alias("_at"))
+    return rows.join(F.broadcast(dates), F.col("_i") == F.col("_at")).select(ENTITY, F.col("_date").alias(DATE), *values)
 
 
 def targets(dense: DataFrame, h: int = 5) -> DataFrame:

@@ -53,3 +53,22 @@ def test_distances_stop_where_no_pair_can_be(spark):
     found = text.near_pairs(df, "t", "k")
     assert {(r.later, r.earlier): r.similarity for r in found.collect()} == {(1, 0): 0.925, (2, 1): 0.95, (3, 0): 1.0, (3, 1): 0.925, (4, 0): 0.975, (4, 1): 0.925, (4, 3): 0.975}
     assert "ceil" in plan(found)
+
+
+def test_the_grid_unfolds_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Tasks grow in number with the grid, none of which is shuffled; gaps, late starts, rows of no entity and repeated rows are as ever."""
+    monkeypatch.setattr(series, "GRID_ROWS", 10)
+    days = [DAY + datetime.timedelta(i) for i in (0, 1, 3, 4, 7)]
+    held = [(e, d, float(10 * e + i)) for e in range(40) for i, d in enumerate(days) if e == 0 or (i + e) % 3]
+    df = spark.createDataFrame([*held, (None, days[3], 5.0), (0, days[1], -1.0), (3, None, 7.0)], "entity int, date date, close double")
+    grid = series.grid(df)
+    assert grid.columns == ["entity", "date", "close"]
+    of = {}
+    for e, d, v in held:
+        of.setdefault(e, {})[d] = v
+    want = [(e, d, at.get(d)) for e, at in of.items() for d in days if d >= min(at)] + [(0, days[1], -1.0), (None, days[3], None), (None, days[4], None)]
+    assert sorted(map(str, (tuple(r) for r in grid.collect()))) == sorted(map(str, want))
+    sizes = grid.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 20 and max(sizes) < len(want) / 3
+    assert "sortmergejoin" not in plan(grid)
+    assert series.grid(df.where("false")).count() == 0
