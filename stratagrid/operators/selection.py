@@ -15,15 +15,22 @@ steps and keeps nothing; columns that aren't named are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratagrid.session import dropped, stored
+
 #: A matrix of so many columns squared is what the driver holds at most.
 MAX_FEATURES = 2000
 RANGES = 64
+#: More ranges where one would hold more rows than this, and values that a block of rows has, about.
+RANGE_ROWS, BLOCK_CELLS = 1 << 20, 1 << 22
 
 
 def long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -57,23 +64,168 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     return every.join(found, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)).alias("mi"))
 
 
-def ranks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` of feature and value with twice the average rank less the middle, a whole number: ``rank``."""
-    at = positions(rows.groupBy("feature", "value").agg(F.count("*").alias("n")))
-    at = at.select(F.col("feature").alias("_f"), F.col("value").alias("_v"), (2 * F.col("below") + F.col("n") - F.col("total")).alias("rank"))
-    return rows.join(at, (F.col("feature") == F.col("_f")) & (F.col("value") == F.col("_v"))).select(*by, "feature", "rank")
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers with their lowest bytes first, then their next ones, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def opened(held: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(held[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(pa.decompress(held[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
+def numbers(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """Columns c0 to c(n - 1), NaN for no value."""
+    return np.column_stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(n)])
+
+
+def ranged(rows: DataFrame, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the columns c0 to c(n - 1): cuts, and the rows below each range; and the rows that have a value, one below 0, and 0."""
+    ranges = max(RANGES, math.ceil(rows.count() / RANGE_ROWS))
+    found = rows.agg(*(F.percentile_approx(f"c{i}", [k / ranges for k in range(1, ranges)], 10 * ranges) for i in range(n))).first()
+    cuts = [np.unique(np.array(c or [], float)) for c in found]
+
+    def count(batches):
+        held = np.zeros((n, ranges + 2), np.int64)
+        for batch in batches:
+            x = numbers(batch, n)
+            for i in range(n):
+                v = x[~np.isnan(x[:, i]), i]
+                held[i, : len(cuts[i]) + 1] += np.bincount(np.searchsorted(cuts[i], v), minlength=len(cuts[i]) + 1)
+                held[i, -2:] += ((v < 0).sum(), (v == 0).sum())
+        cell = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(held.ravel()[cell])], ["cell", "n"])
+
+    total = np.zeros((n, ranges + 2), np.int64)
+    for r in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total.ravel()[r["cell"]] = r["n"]
+    inside = total[:, :-2]
+    return cuts, np.cumsum(inside, axis=1) - inside, inside.sum(axis=1), total[:, -2], total[:, -1]
+
+
+def exact(product, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``product`` of whole numbers below 2^35 of at most 2^16 rows, as three parts that floats hold exactly: of 2^34, of 2^17 and of 1."""
+    (a, b), (c, d) = ((z >> 17, z & 0x1FFFF) for z in (x, y))
+    a, b, c, d = (z.astype(float) for z in (a, b, c, d))
+    return np.stack([product(a, c), product(a, d) + product(b, c), product(b, d)]).astype(np.int64)
+
+
+def rank_sums(df: DataFrame, features: list[str], outcome: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact sums over rows of products of centred ranks (twice the average rank less the middle): of each
+    feature and the outcome over the rows that have both (x y, x x, y y), the number of these rows, and
+    those of all pairs of features, in which no value counts as 0.
+
+    Rows are cut into blocks. A block sends each range of a column the values it has there, with their counts and, packed, the rows
+    they are of; the range ranks them and sends them back. So a value moves twice, in a few bytes, and no row is joined.
+    """
+    if len(features) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features")
+    f = len(features)
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = stored(df.select(*(number(c).alias(f"c{i}") for i, c in enumerate([*features, *([outcome] if outcome else [])]))))
+    of: list[int] = []
+    width = f
+    source = rows
+    if outcome:
+        # features that are there in the same rows share the outcome's ranks: they have equal sums of the rows' hashes
+        row = F.xxhash64(*rows.columns)
+        sums = [F.sum(F.when(F.col(f"c{i}").isNotNull(), part)) for i in range(f) for part in (F.shiftrightunsigned(row, 33), row.bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(1))]
+        held = rows.agg(*sums).first()
+        kinds: dict = {}
+        of = [f + kinds.setdefault(tuple(held[3 * i : 3 * i + 3]), len(kinds)) for i in range(f)]
+        width = f + len(kinds)
+        source = rows.select(*(f"c{i}" for i in range(f)), *(F.when(F.col(f"c{of.index(k)}").isNotNull(), F.col(f"c{f}")).alias(f"c{k}") for k in range(f, width)))
+    cuts, offsets, total, negative, zero = ranged(source, width)
+    size = max(1, min(1 << 16, BLOCK_CELLS // width))
+
+    def send(batches):
+        part, seen, wait, have = TaskContext.get().partitionId(), 0, [], 0
+
+        def block(x: np.ndarray) -> pa.RecordBatch:
+            out = []
+            for i in range(width):
+                at = np.flatnonzero(~np.isnan(x[:, i])).astype(np.uint16)
+                cell = np.searchsorted(cuts[i], x[at, i])
+                order = np.argsort(cell, kind="stable")
+                ends = np.searchsorted(cell[order], np.arange(len(cuts[i]) + 2))
+                for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if b > a or i == k == 0:
+                        own = at[order[a:b]]
+                        values, which, counts = np.unique(x[own, i], return_inverse=True, return_counts=True)
+                        out.append((i, k, (part << 32) + seen, len(x), squeezed(np.diff(own, prepend=np.uint16(0))), squeezed(which.astype(np.uint16)), squeezed(values), squeezed(counts.astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_sent, strict=True)], names_sent)
+
+        for batch in batches:
+            wait.append(numbers(batch, width))
+            have += len(wait[-1])
+            while have >= size:
+                x = np.concatenate(wait)
+                yield block(x[:size])
+                wait, have, seen = [x[size:]], have - size, seen + 1
+        if have:
+            yield block(np.concatenate(wait))
+
+    names_sent, kinds_sent = ["i", "cell", "block", "size", "at", "which", "vals", "counts"], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+
+    def resolve(table: pa.Table) -> pa.Table:
+        i, cell = table.column("i")[0].as_py(), table.column("cell")[0].as_py()
+        values = [opened(x, np.float64) for x in table.column("vals").to_pylist()]
+        counts = np.concatenate([opened(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        own, which = np.unique(np.concatenate(values), return_inverse=True)
+        n = np.zeros(len(own), np.int64)
+        np.add.at(n, which, counts)
+        rank = (2 * (offsets[i, cell] + np.cumsum(n) - n) + n - total[i])[which]
+        ends = np.cumsum([0, *map(len, values)])
+        sent = [squeezed(rank[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([*(table.column(c) for c in ("block", "size", "i", "at", "which")), pa.array(sent, pa.binary())], ["block", "size", "i", "at", "which", "ranks"])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        x = np.zeros((table.column("size")[0].as_py(), width), np.int64)
+        there = np.zeros(x.shape, bool)
+        for i, at, which, ranks in zip(*(table.column(c).to_pylist() for c in ("i", "at", "which", "ranks")), strict=True):
+            at = np.cumsum(opened(at, np.uint16), dtype=np.int64)
+            x[at, i], there[at, i] = opened(ranks, np.int64)[opened(which, np.uint16)], True
+        # with 0 where no value is: values above and below 0 move apart by the number of these rows
+        n, neg, nil = everything - total[:f], negative[:f], zero[:f]
+        place = x[:, :f] + total[:f]
+        filled = np.where(there[:, :f], x[:, :f] + n * ((place > 2 * neg + nil).astype(np.int64) - (place < 2 * neg)), 2 * neg + nil - total[:f])
+        along = lambda p, q: (p * q).sum(axis=0)
+        pairs = [exact(along, x[:, :f], x[:, of]), exact(along, x[:, :f], x[:, :f]), exact(along, x[:, of], x[:, of])] if outcome else []
+        parts = np.concatenate([*pairs, exact(lambda p, q: p.T @ q, filled, filled).reshape(3, -1)], axis=1)
+        return pa.table({"parts": pa.array([parts.tobytes()], pa.binary())})
+
+    def add(batches):
+        held = np.zeros(3 * cells, np.int64)
+        for batch in batches:
+            for x in batch.column("parts").to_pylist():
+                held += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), *(pa.array(x) for x in held.reshape(3, cells))], ["cell", "high", "mid", "low"])
+
+    everything, cells = rows.count(), f * f + (3 * f if outcome else 0)
+    blocks = source.mapInArrow(send, "i int, cell int, block long, size int, at binary, which binary, vals binary, counts binary").groupBy("i", "cell").applyInArrow(resolve, "block long, size int, i int, at binary, which binary, ranks binary")
+    parts = blocks.groupBy("block").applyInArrow(multiply, "parts binary").mapInArrow(add, "cell long, high long, mid long, low long")
+    whole = np.zeros(cells, object)
+    for r in parts.groupBy("cell").agg(*(F.sum(F.col(c).cast("decimal(19,0)")).alias(c) for c in ("high", "mid", "low"))).collect():
+        whole[r["cell"]] = (int(r["high"]) << 34) + (int(r["mid"]) << 17) + int(r["low"])
+    dropped(rows)
+    found = whole.astype(float)
+    with_outcome = total[of] if outcome else np.zeros(f, np.int64)
+    return found[: cells - f * f].reshape(-1, f), with_outcome, found[cells - f * f :].reshape(f, f)
+
+
+def correlated(sums: np.ndarray) -> np.ndarray:
+    scale = np.sqrt(sums[1]) * np.sqrt(sums[2])
+    return np.divide(sums[0], scale, out=np.zeros(sums.shape[1]), where=scale > 0)
 
 
 def pooled_ic(df: DataFrame, features: list[str], outcome: str, key: list[str]) -> DataFrame:
     """feature, n and ic: the rank correlation with the outcome over all rows that have both; 0 where one doesn't vary."""
-    held = long(df.where(F.col(outcome).isNotNull() & ~F.isnan(outcome)), features, [*key, outcome])
-    x = ranks(held, key)
-    y = ranks(held.withColumn("value", F.col(outcome).cast("double")), key).withColumnRenamed("rank", "other")
-    # sums of whole numbers beyond 53 bits are decimals, so that no order of adding changes them
-    total = lambda a, b: F.sum(F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("double")
-    sums = x.join(y, [*key, "feature"]).groupBy("feature").agg(F.count("*").alias("n"), total("rank", "other").alias("xy"), total("rank", "rank").alias("xx"), total("other", "other").alias("yy"))
-    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return every.join(sums, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")), F.lit(0.0)).alias("ic"))
+    sums, n, _ = rank_sums(df.where(F.col(outcome).isNotNull() & ~F.isnan(outcome)), features, outcome)
+    rows = [(x, int(k), float(ic)) for x, k, ic in zip(features, n, correlated(sums), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature string, n long, ic double")
 
 
 def products(df: DataFrame, columns: list[str], centre: np.ndarray | None = None, by: Column | None = None) -> dict[bool, np.ndarray]:
@@ -138,30 +290,29 @@ def forward(df: DataFrame, features: list[str], outcome: str, train: Column, k:
     return df.sparkSession.createDataFrame(steps, "step int, feature string, score double")
 
 
-def rank_correlations(df: DataFrame, features: list[str], key: list[str]) -> np.ndarray:
-    """Rank correlations of all pairs of features over all rows; no value counts as 0."""
-    filled = df.select(*key, *(F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features))
-    by = ranks(long(filled, features, key), key)
-    wide = by.groupBy(*key).pivot("feature", features).agg(F.first("rank"))
-    m = products(wide, features, np.zeros(len(features)))[True]
+def by_scale(m: np.ndarray) -> np.ndarray:
     scale = np.sqrt(np.outer(m.diagonal(), m.diagonal()))
     return np.divide(m, scale, out=np.zeros_like(m), where=scale > 0)
 
 
+def rank_correlations(df: DataFrame, features: list[str], key: list[str]) -> np.ndarray:
+    """Rank correlations of all pairs of features over all rows; no value counts as 0."""
+    return by_scale(rank_sums(df, features, None)[2])
+
+
 def thinned(df: DataFrame, features: list[str], outcome: str, key: list[str], blocks: dict[str, str] | None = None, least: float = 0.01, most: float = 0.85) -> DataFrame:
     """feature, ic, place and kept, of the features whose correlation with the outcome is above ``least``.
 
     In order of falling correlation (``place``) a feature stays unless its rank correlation with one that
     stayed in the same block is ``most`` or more; ``blocks`` names each feature's block (one for all without it).
     """
-    found = {r["feature"]: r["ic"] for r in pooled_ic(df, features, outcome, key).collect()}
-    order = sorted((f for f in features if abs(found[f]) > least), key=lambda f: (-round(abs(found[f]), 12), f))
+    sums, _, m = rank_sums(df.where(F.col(outcome).isNotNull() & ~F.isnan(outcome)), features, outcome)
+    found, near = correlated(sums), np.abs(by_scale(m))
+    order = sorted((i for i, ic in enumerate(found) if abs(ic) > least), key=lambda i: (-round(abs(found[i]), 12), features[i]))
     rows, kept = [], []
-    if order:
-        near = np.abs(rank_correlations(df.where(F.col(outcome).isNotNull() & ~F.isnan(outcome)), order, key))
-        block = [(blocks or {}).get(f, "") for f in order]
-        for i, f in enumerate(order):
-            stays = all(near[i, j] < most for j in kept if block[j] == block[i])
-            kept += [i] * stays
-            rows.append((f, float(found[f]), i + 1, stays))
+    block = [(blocks or {}).get(f, "") for f in features]
+    for place, i in enumerate(order, 1):
+        stays = all(near[i, j] < most for j in kept if block[j] == block[i])
+        kept += [i] * stays
+        rows.append((features[i], float(found[i]), place, bool(stays)))
     return df.sparkSession.createDataFrame(rows, "feature string, ic double, place int, kept boolean")

@@ -81,3 +81,18 @@ def test_nothing_to_choose_from(spark):
     assert sel.forward(odd, ["a", "b"], "y", F.lit(True)).count() == 0
     with pytest.raises(ValueError, match="features"):
         sel.products(none, ["a"] * 3000)
+
+
+def test_ranks_need_no_join_of_rows(spark, frame, monkeypatch):
+    """Rows of equal keys stay rows of their own, and blocks and ranges of any size give the same sums; half the values are one."""
+    monkeypatch.setattr(sel, "BLOCK_CELLS", 700)
+    x = frame.assign(entity=1, date=1, half=np.where(np.arange(len(frame)) % 2, 0.0, frame.a - 0.5), none=np.nan)
+    names = [*FEATURES, "half", "none"]
+    df = spark.createDataFrame(x).repartition(3)
+    got = {r.feature: r for r in sel.pooled_ic(df, names, "y", KEY).collect()}
+    for f in ("a", "b", "copy", "hot", "half"):
+        held = x[[f, "y"]].dropna()
+        assert got[f].n == len(held) and got[f].ic == pytest.approx(held.corr("spearman").iloc[0, 1], abs=1e-12)
+    assert (got["none"].n, got["none"].ic, got["flat"].ic) == (0, 0.0, 0.0)
+    want = x[["a", "b", "copy", "hot", "half"]].fillna(0).corr("spearman").to_numpy()
+    assert np.allclose(sel.rank_correlations(df, ["a", "b", "copy", "hot", "half"], KEY), want, atol=1e-12)
