@@ -5,8 +5,8 @@
   side, so a candidate's validation error follows from six numbers and no row is read again.
 * ``thinned``: greedy elimination by rank correlation within blocks of related features.
 
-Ranks are of the whole table: values are counted first, the line of values is cut into ranges at
-approximate quantiles, and only counts of ranges are added up in order, so no task sorts a whole feature.
+Ranks are of the whole table: the line of values is cut into ranges at approximate quantiles, whose rows are
+counted, so a task ranks one range and no task sorts a whole feature.
 
 Defined results: null values and NaN are no values; a feature without any has information and correlation 0;
 ties share a bin and an average rank; among equal scores the first name wins; an empty table gives no
@@ -22,23 +22,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from stratagrid.session import dropped, stored
+from stratagrid.session import cut, dropped, stored
 
 #: A matrix of so many columns squared is what the driver holds at most.
 MAX_FEATURES = 2000
-RANGES = 64
+RANGES, FINE = 64, 256
 #: More ranges where one would hold more rows than this, and values that a block of rows has, about.
 RANGE_ROWS, BLOCK_CELLS = 1 << 20, 1 << 22
 
 
-def long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """One row a row and feature that has a value: the columns ``keep``, ``feature`` and ``value``."""
-    held = df.select(*keep, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(keep, features, "feature", "value")
-    return held.where("value is not null and not isnan(value)")
-
-
 def positions(counts: DataFrame) -> DataFrame:
     """For each (feature, value, n): ``below``, the rows with smaller values, and ``total``, all of the feature."""
     cuts = counts.groupBy("feature").agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
@@ -51,17 +46,63 @@ def positions(counts: DataFrame) -> DataFrame:
     return held.join(cells, ["feature", "cell"]).select("feature", "value", "n", (F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("below"), "total")
 
 
+def borders(rows: DataFrame, n: int, bins: int) -> np.ndarray:
+    """For each of the columns c0 to c(n - 1) the values above which its 2nd and further bins begin; exact, in order."""
+    cuts, offsets, total, _, _ = ranged(rows, n, FINE)
+    wanted = [[-(-k * int(t) // bins) for k in range(1, bins)] if t else [] for t in total]  # a bin begins above the value of this place
+    cells = [[int(np.searchsorted(offsets[i], w, side="left")) - 1 for w in wanted[i]] for i in range(n)]
+
+    def pick(batches):
+        for batch in batches:
+            x, out = numbers(batch, n), []
+            for i in range(n):
+                v = x[~np.isnan(x[:, i]), i]
+                at = np.searchsorted(cuts[i], v)
+                own = np.isin(at, cells[i])
+                values, first, counts = np.unique(v[own], return_index=True, return_counts=True)
+                out.append((np.full(len(values), i, np.int32), at[own][first].astype(np.int32), values, counts.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["i", "cell", "value", "n"])
+
+    near = rows.mapInArrow(pick, "i int, cell int, value double, n long").groupBy("i", "cell", "value").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("i", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    asked = rows.sparkSession.createDataFrame([(i, c, k, w - int(offsets[i][c])) for i in range(n) for k, (c, w) in enumerate(zip(cells[i], wanted[i], strict=True))], "i int, cell int, k int, place long")
+    held = near.withColumn("upto", before).join(F.broadcast(asked), ["i", "cell"]).where("upto >= place").groupBy("i", "k").agg(F.min("value").alias("value")).collect()
+    out = np.full((n, bins - 1), np.inf)
+    for r in held:
+        out[r["i"], r["k"]] = r["value"]
+    return out
+
+
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
-    """feature, n and mi (nats) between the feature's quantile bin and the class, over rows that have both."""
-    joint = long(df.where(F.col(label).isNotNull()), features, [label]).groupBy("feature", "value", F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    at = positions(joint.groupBy("feature", "value").agg(F.sum("n").alias("n"))).select("feature", "value", F.floor(F.col("below") * bins / F.col("total")).alias("bin"))
-    cells = joint.join(at, ["feature", "value"]).groupBy("feature", "bin", "label").agg(F.sum("n").alias("n"))
-    of = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))  # noqa: E731  bins times classes rows
+    """feature, n and mi (nats) between the feature's quantile bin and the class, over rows that have both.
+
+    A bin's border is a value of a known place, so only the ranges that hold one are looked into; no row is shuffled.
+    """
+    f, kind = len(features), df.schema[label].dataType
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = stored(df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), *(number(c).alias(f"c{i}") for i, c in enumerate(features))))
+    edges = borders(rows, f, bins)
+
+    def count(batches):
+        for batch in batches:
+            x, code = numbers(batch, f), batch.column("label").dictionary_encode()
+            which, out = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), []
+            for i in range(f):
+                own = ~np.isnan(x[:, i])
+                cell, n = np.unique(which[own] * bins + np.searchsorted(edges[i], x[own, i]), return_counts=True)
+                out.append((np.full(len(cell), i, np.int32), (cell % bins).astype(np.int32), cell // bins, n.astype(np.int64)))
+            i, at, name, n = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(at), code.dictionary.take(pa.array(name)), pa.array(n)], ["i", "bin", "label", "n"])
+
+    fields = StructType([StructField("i", IntegerType()), StructField("bin", IntegerType()), StructField("label", kind), StructField("n", LongType())])
+    cells = cut(rows.mapInArrow(count, fields).groupBy("i", "bin", "label").agg(F.sum("n").alias("n")))
+    dropped(rows)
+    of = lambda *by: F.sum("n").over(Window.partitionBy("i", *by))  # noqa: E731  bins times classes rows
     cells = cells.withColumns({"total": of(), "x": of("bin"), "y": of("label")})
     share = F.col("n") / F.col("total")
-    found = cells.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(share * F.ln(F.col("n") * F.col("total") / (F.col("x") * F.col("y")).cast("double"))).alias("mi"))
-    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return every.join(found, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)).alias("mi"))
+    found = cells.groupBy("i").agg(F.sum("n").alias("n"), F.sum(share * F.ln(F.col("n") * F.col("total") / (F.col("x") * F.col("y")).cast("double"))).alias("mi"))
+    every = df.sparkSession.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return every.join(found, "i", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)).alias("mi"))
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -82,9 +123,9 @@ def numbers(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return np.column_stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(n)])
 
 
-def ranged(rows: DataFrame, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ranged(rows: DataFrame, n: int, least: int = RANGES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each of the columns c0 to c(n - 1): cuts, and the rows below each range; and the rows that have a value, one below 0, and 0."""
-    ranges = max(RANGES, math.ceil(rows.count() / RANGE_ROWS))
+    ranges = max(least, math.ceil(rows.count() / RANGE_ROWS))
     found = rows.agg(*(F.percentile_approx(f"c{i}", [k / ranges for k in range(1, ranges)], 10 * ranges) for i in range(n))).first()
     cuts = [np.unique(np.array(c or [], float)) for c in found]
 

@@ -96,3 +96,15 @@ def test_ranks_need_no_join_of_rows(spark, frame, monkeypatch):
     assert (got["none"].n, got["none"].ic, got["flat"].ic) == (0, 0.0, 0.0)
     want = x[["a", "b", "copy", "hot", "half"]].fillna(0).corr("spearman").to_numpy()
     assert np.allclose(sel.rank_correlations(df, ["a", "b", "copy", "hot", "half"], KEY), want, atol=1e-12)
+
+
+def test_bins_come_from_the_ranges_that_hold_a_border(spark, frame, monkeypatch):
+    """Whole values are neither grouped nor joined: of 2000 values only those near borders leave a task."""
+    seen = []
+    found = sel.borders
+    monkeypatch.setattr(sel, "borders", lambda *a: seen.append(found(*a)) or seen[-1])
+    x = np.random.default_rng(3).normal(size=2000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "few": np.round(x), "k": np.where(x > 0, "up", "down")})).repartition(4)
+    got = {r.feature: r for r in sel.mutual_information(df, ["x", "few"], "k").collect()}
+    assert list(seen[0][0]) == [np.sort(x)[200 * k - 1] for k in range(1, 10)]
+    assert got["x"].n == 2000 and got["x"].mi == pytest.approx(np.log(2), abs=0.06) and 0 < got["few"].mi < got["x"].mi
