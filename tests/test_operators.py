@@ -174,3 +174,14 @@ def test_catalog_of_empty_sources_and_scrubbed_names(spark):
     got = catalog.merged(b, {"margin": none, "limit_up": none}).collect()
     assert [(r.margin_balance, r.margin_is_stale, r.margin_has_ever_observed) for r in got] == [(0.0, False, False)] * 2
     assert catalog.scrubbed(["a", "a_lag5", "topic_1", "roe", "margin_net", "margin_is_stale"], off=("margin",)) == ["a", "roe"]
+
+
+def test_only_the_indicators_asked_for(spark):
+    """Each is the same alone as among all."""
+    rows = [(i % 2, datetime.date(2024, 1, 1) + datetime.timedelta(i), 10.0 + (7 * i) % 5, 8.0 + (3 * i) % 4 - i / 50, 9.0 + (5 * i) % 7 / 3) for i in range(80)]
+    df = spark.createDataFrame(rows, "entity int, date date, high double, low double, close double")
+    every = technical.recursive(df).orderBy("entity", "date").toPandas()
+    for some in (("trix", "ema_12"), ("rsi_24", "adxr", "kdj_j_14"), ("macd_hist",)):
+        got = technical.recursive(df, some)
+        assert got.columns == ["entity", "date", *some]
+        assert got.orderBy("entity", "date").toPandas().equals(every[["entity", "date", *some]])
