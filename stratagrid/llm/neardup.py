@@ -14,10 +14,15 @@
    candidate with the NEXT ones behind it, in each of its buckets. The order is a range partitioning by
    (bucket, samples, vertex), which cuts hot buckets anywhere; the ends of neighbouring ranges meet in a
    second, narrow pass. So a text has at most 2 BANDS NEXT candidates, in a group of any size, and a
-   group's links hold it together through its many orders (tests measure this against all pairs).
+   group's links hold it together through its many orders.
 4. Candidates whose sketches (a byte a sample) agree in fewer than a link would by 3 deviations are
    dropped; the others are verified on their whole texts, with the weights of step 1.
 5. Verified links are joined to connected components by passing smallest labels along links and jumping.
+6. What the neighbours leave out is made up for: of every bucket whose members aren't all in one component
+   by now, all pairs from different components are compared, in cells of CELL members that are dealt over
+   the tasks: by sketches in a small bucket, then on whole texts. A pair inside a component can't change a class, so the
+   classes are those of all pairs of all buckets. ``links(docs, every=True)`` compares those as well and
+   gives every link. The work, not the rows, grows with the square of those members of a group that aren't linked yet.
 
 Two numbers (N and the bytes of all texts) and a map of fixed size reach the driver. Texts are shuffled
 once for the counts; after that only those of candidate pairs move. A text that a third of all rows hold leaves a task once.
@@ -53,6 +58,9 @@ SAMPLES = BANDS * ROWS
 DEEP = 8
 #: Neighbours behind it in that order that a text is compared with.
 NEXT = 5
+#: Members of a bucket that are held against each other, or against another cell, at once, and about the bytes of their texts.
+CELL = 256
+CELL_BYTES = 1 << 20
 #: Agreeing samples, as a share, below which a pair isn't verified: 3 deviations below the threshold.
 LEAST_ALIKE = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
 #: Steps of a frequency's code for each doubling.
@@ -275,14 +283,18 @@ def candidates(signatures: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether sketches (the last axis) agree as often as a link's would."""
+    return ((one == two).mean(axis=-1) - 1 / 256) / (1 - 1 / 256) >= LEAST_ALIKE
+
+
 def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs whose sketches agree as often as a link's would."""
 
     def run(batches):
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES) for c in ("sa", "sb"))
-            share = ((one == two).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(share >= LEAST_ALIKE))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(agreeing(one, two)))
 
     one, two = (signatures.select(F.col("v").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
@@ -327,23 +339,162 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("v", "label")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, enough to connect every class."""
+HELD = "bucket long, cell long, low long, high long, rows array<struct<v:binary,part:bigint,text:binary,codes:binary>>"
+
+
+def mixed_rows(signatures: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, v, part) of members of buckets that hold several components (``part``), or without labels several texts.
+
+    Of a bucket of at most CELL members only those stay whose sketch is like that of one of another part.
+    """
+    label = labels.select("v", F.xxhash64("label").alias("part")) if labels else signatures.select("v", F.xxhash64("v").alias("part"))
+    own = stored(signatures.select("v", "sketch", F.col("places.bucket").alias("buckets")).join(label, "v", "left").withColumn("part", F.coalesce("part", F.xxhash64("v"))))
+    in_buckets = own.select("v", "part", F.explode("buckets").alias("bucket"))
+    several = in_buckets.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
+    rows = stored(in_buckets.join(several, "bucket"))
+
+    def awake(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            key = held.column("bucket").to_numpy()
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)) if len(key) else np.zeros(0, np.int64)
+            if len(ends) > 1:
+                yield stirred(held.slice(0, int(ends[-2])), ends[:-1])
+                held = held.slice(int(ends[-2]))
+        if held is not None and held.num_rows:
+            yield stirred(held, np.array([held.num_rows]))
+
+    def stirred(batch: pa.RecordBatch, ends: np.ndarray) -> pa.RecordBatch:
+        part, sketch = batch.column("part").to_numpy(), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        stay = np.zeros(len(part), bool)
+        for x, y in zip(np.append(0, ends[:-1]), ends, strict=True):
+            stay[x:y] = ((part[x:y, None] != part[None, x:y]) & agreeing(sketch[x:y, None, :], sketch[None, x:y, :])).any(axis=1)
+        return batch.select(["bucket", "v", "part"]).filter(pa.array(stay))
+
+    small = rows.where(F.col("n") <= CELL).join(own.select("v", "sketch"), "v").select("bucket", "v", "part", "sketch")
+    small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(awake, "bucket long, v binary, part long")
+    found = stored(small.unionByName(rows.where(F.col("n") > CELL).select("bucket", "v", "part")))
+    dropped(own, rows)
+    return found
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, part, v, text, codes) in order; to a row, of one bucket CELL at most and CELL_BYTES of text, with their least and greatest part."""
+
+    def run(batches):
+        number, key, size, held = TaskContext.get().partitionId() << 40, None, 0, []
+
+        def row():
+            return pa.RecordBatch.from_pylist([{"bucket": key, "cell": number, "low": held[0]["part"], "high": held[-1]["part"], "rows": held}], kind)
+
+        kind = pa.schema([*((c, pa.int64()) for c in ("bucket", "cell", "low", "high")), ("rows", pa.list_(pa.struct([("v", pa.binary()), ("part", pa.int64()), ("text", pa.binary()), ("codes", pa.binary())])))])
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["bucket"] != key or len(held) == CELL or size >= CELL_BYTES):
+                    yield row()
+                    number, size, held = number + 1, 0, []
+                key, size = r["bucket"], size + len(r["text"])
+                held.append({c: r[c] for c in ("v", "part", "text", "codes")})
+        if held:
+            yield row()
+
+    order = ["bucket", "part", "v"]
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "text", "codes").mapInArrow(run, HELD))
+
+
+def linked_cells(one: list[dict], two: list[dict], n: int, every: bool) -> list[tuple[bytes, bytes, float]]:
+    """Links between members of two cells (or of one, given twice) that are of different parts: all of them, or a forest that connects the parts they connect."""
+    both = one if one is two else [*one, *two]
+    g, tf, doc = shingled([r["text"] for r in both])
+    weight = tf * rarity(np.frombuffer(b"".join(r["codes"] for r in both), np.uint8), n)
+    known, at = np.unique(g, return_inverse=True)
+    begin = np.searchsorted(doc, np.arange(len(both) + 1))
+    total = np.add.reduceat(np.append(weight, 0), begin[:-1])
+    root = np.unique([r["part"] for r in both], return_inverse=True)[1].astype(np.int64)
+    found, dense = [], np.zeros(len(known))
+    for i in range(len(one)):
+        others = np.arange(i + 1, len(both)) if one is two else np.arange(len(one), len(both))
+        others = others[root[others] != root[i]]
+        if not len(others):
+            continue
+        mine = slice(begin[i], begin[i + 1])
+        dense[at[mine]] = weight[mine]
+        size = begin[others + 1] - begin[others]
+        starts = np.cumsum(size) - size
+        where = np.repeat(begin[others] - starts, size) + np.arange(size.sum())
+        common = np.add.reduceat(np.minimum(dense[at[where]], weight[where]), starts)
+        dense[at[mine]] = 0
+        share = common / np.maximum(total[i] + total[others] - common, 1e-300)
+        for j, x in zip(others[share >= THRESHOLD], share[share >= THRESHOLD], strict=True):
+            if every or root[i] != root[j]:
+                found.append((min(both[i]["v"], both[j]["v"]), max(both[i]["v"], both[j]["v"]), float(x)))
+                if not every:
+                    root[root == root[j]] = root[i]
+    return found
+
+
+def rest(rows: DataFrame, texts: DataFrame, n: int, every: bool = False) -> DataFrame:
+    """Verified links (a, b, similarity) between ``rows`` (bucket, v, part) of one bucket and different parts; ``texts`` has v, text and codes.
+
+    A bucket's cells meet each other in groups of their own, but for two of one part. A group gives no
+    pairs but the links that connect its parts, or with ``every`` all links.
+    """
+    held = cells(rows.join(texts, "v"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        found = []
+        for a, b, one, two in zip(*(table.column(c).to_pylist() for c in ("cell_a", "cell_b", "rows_a", "rows_b")), strict=True):
+            found += linked_cells(one, one if a == b else two, n, every)
+        return pa.table({c: pa.array([x[k] for x in found], t) for k, (c, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())))})
+
+    one, two = (held.select("bucket", *(F.col(c).alias(f"{c}_{e}") for c in ("cell", "low", "high"))) for e in "ab")
+    pairs = one.join(two, "bucket").where("cell_a <= cell_b and not (low_a = high_a and low_b = high_b and low_a = low_b)").select("cell_a", "cell_b")
+    for e in "ab":
+        pairs = pairs.join(held.select(*(F.col(c).alias(f"{c}_{e}") for c in ("cell", "rows"))), f"cell_{e}")
+    found = pairs.groupBy("cell_a", "cell_b").applyInArrow(meet, "a binary, b binary, similarity double")
+    found = stored(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    dropped(held)
+    return found
+
+
+def linked(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) between different texts, enough to connect every class, and v and label of the linked texts' components."""
     signatures, n = signed(docs)
+
+    def texts_of(involved: DataFrame) -> DataFrame:
+        return once(docs, mapped(involved)).join(involved, "v", "left_semi").dropDuplicates(["v"]).join(signatures.select("v", "codes"), "v")
+
     pairs = stored(alike(candidates(signatures), signatures))
     involved = pairs.select(F.col("a").alias("v")).distinct().union(pairs.select(F.col("b").alias("v")).distinct()).distinct()
-    texts = once(docs, mapped(involved)).join(involved, "v", "left_semi").dropDuplicates(["v"]).join(signatures.select("v", "codes"), "v")
-    found = stored(verified(pairs, texts, n).where(F.col("similarity") >= THRESHOLD))
-    dropped(signatures, pairs)
-    return found
+    found = stored(verified(pairs, texts_of(involved), n).where(F.col("similarity") >= THRESHOLD))
+    labels = components(found)
+    left = mixed_rows(signatures, None if every else labels)
+    if not left.isEmpty():
+        more = rest(left, texts_of(left.select("v").distinct()), n, every)
+        met = more.select(*(F.col(c).alias(f"v{c}") for c in "ab"))
+        for c in "ab":
+            met = met.join(labels.select(F.col("v").alias(f"v{c}"), F.col("label").alias(c)), f"v{c}", "left").withColumn(c, F.coalesce(c, f"v{c}"))
+        wider = components(met.where("a != b").select("a", "b").distinct()).select(F.col("v").alias("label"), F.col("label").alias("wider"))
+        ends = more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("label"))
+        after = stored(labels.unionByName(ends).join(wider, "label", "left").select("v", F.coalesce("wider", "label").alias("label")))
+        dropped(labels)
+        found, labels = found.unionByName(more.join(found, ["a", "b"], "left_anti")), after
+    dropped(signatures, pairs, left)
+    return found, labels
+
+
+def links(docs: DataFrame, every: bool = False) -> DataFrame:
+    """Verified links (a, b, similarity) between different texts: enough to connect every class, or ``every`` one of texts that share a bucket."""
+    return linked(docs, every)[0]
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, v, class_id (smallest id of the class), rows in the class, links of its text, and class_key (the class)."""
+    """Per row: doc_id, v, class_id (smallest id of the class), rows in the class, links of its text that were found, and class_key (the class)."""
     rows = keyed(docs).select("doc_id", "v")
-    linked = links(docs)
-    degree = linked.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
-    known = components(linked).join(degree, "v")
+    found, labels = linked(docs)
+    degree = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
+    known = labels.join(degree, "v")
     # texts first: copies of a text are counted before anything is shuffled, so classes are made of texts
     texts = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     named = texts.join(known, "v", "left").select("v", "id", "n", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -122,6 +122,38 @@ def test_candidates_grow_with_the_rows(spark, monkeypatch):
     assert got == {(i, j) for i in range(2000) for j in range(i + 1, min(2000, i + neardup.NEXT + 1))}
 
 
+def test_pairs_beyond_the_neighbours(spark, monkeypatch):
+    """One bucket of all rows in which links lie far apart, over many cells: all links come out, or those that connect components."""
+    monkeypatch.setattr(neardup, "CELL", 8)
+    rng = random.Random(3)
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(10)]
+    texts = [" ".join([*own[i % 10], f"x{i}"]) for i in range(50)]  # i and i + 10 are a link
+    codes = [bytes(len(neardup.shingled([t.encode()])[0])) for t in texts]
+    key = [i.to_bytes(16, "big") for i in range(50)]
+    texts = spark.createDataFrame(list(zip(key, [t.encode() for t in texts], codes, strict=True)), "v binary, text binary, codes binary")
+
+    def found(parts, every):
+        rows = spark.createDataFrame([(7, key[i], p) for i, p in enumerate(parts)], "bucket long, v binary, part long").repartition(6)
+        return sorted((key.index(r.a), key.index(r.b)) for r in neardup.rest(rows, texts, 50, every).collect())
+
+    assert found(range(50), True) == sorted((i, j) for i in range(50) for j in range(i + 10, 50, 10))
+    some = found([i % 20 for i in range(50)], False)
+    assert all((j - i) % 20 == 10 for i, j in some) and {i % 10 for i, _ in some} == set(range(10))
+
+
+def test_classes_and_links_with_one_neighbour(spark, monkeypatch):
+    """What the neighbours leave out is found: classes are those of all pairs even if each text has one neighbour, and every link can be had."""
+    monkeypatch.setattr(neardup, "NEXT", 1)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 9))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, n = brute(rows)
+    assert classes(docs) == want
+    found = neardup.links(docs, every=True)
+    assert n > 400 and found.count() == found.select("a", "b").distinct().count() and 0.99 * n <= found.count() <= n
+
+
 def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, LINE, "a", "b", "c", "d"), (2, LINE, "e", "f", "g", "h")], "doc_id long, text string, key string, row string, v string, id string")
     assert [tuple(r) for r in neardup.keep(rows).collect()] == [(1, LINE, "a", "b", "c", "d")]
