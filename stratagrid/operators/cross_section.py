@@ -58,6 +58,15 @@ def rank_normal(x: str) -> Column:
     return F.when(n < 2, F.lit(0.0)).when(F.col(x).isNotNull(), normal_quantile(p))
 
 
+def with_rank_normal(df: DataFrame, x: str, name: str) -> DataFrame:
+    """``df`` with ``rank_normal``; its window values are columns first, as the quantile names the share many times and each would be a window of its own."""
+    v, all_ = F.col(x), per_date()
+    up, down = F.rank().over(all_.orderBy(F.asc_nulls_last(x))), F.rank().over(all_.orderBy(F.desc_nulls_last(x)))
+    ranked = df.withColumns({"_n": F.count(v).over(all_).cast("double"), "_up": up, "_down": down})
+    share = ranked.withColumn("_p", F.greatest(1 / (F.col("_n") + 1), F.least(1 - 1 / (F.col("_n") + 1), ((F.col("_n") + 1 + F.col("_up") - F.col("_down")) / 2.0 - 0.5) / F.nullif("_n", F.lit(0.0)))))
+    return share.withColumn(name, F.when(F.col("_n") < 2, F.lit(0.0)).when(v.isNotNull(), normal_quantile(F.col("_p")))).drop("_n", "_up", "_down", "_p")
+
+
 def plain_z(x: str) -> Column:
     dev = F.stddev_samp(x).over(per_date())
     return (F.col(x) - F.avg(x).over(per_date())) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)

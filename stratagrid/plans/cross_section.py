@@ -12,7 +12,7 @@ from stratagrid.operators.technical import prepared
 from stratagrid.plans.bars import daily
 from stratagrid.plans.registry import query
 from stratagrid.plans.sql import PREPARED, E, full, nz, select, w
-from stratagrid.session import table
+from stratagrid.session import table, tasks_for
 
 X = "(PARTITION BY date)"
 XS = "(PARTITION BY date, sector)"
@@ -39,10 +39,15 @@ def middle_sql(x: str) -> str:
     return f"(rank() OVER (PARTITION BY date ORDER BY {x}) - rank() OVER (PARTITION BY date ORDER BY {x} DESC))"
 
 
-def put(name: str, build, sql: dict[str, str], head: str = "", source: str = "m"):
+def put(name: str, build, sql: dict[str, str], head: str = "", source: str = "m", reads: tuple[str, ...] = ()):
+    """With ``reads`` the query gets these columns only, in tasks of whole dates whose rows don't grow with the table: no more bars than line items."""
+
     @query(name, select(sql, source, head=HEAD + head))
     def run(spark, sf_dir):
-        return build(panel(spark, sf_dir)).select(rounded(*sql))
+        df = panel(spark, sf_dir)
+        if reads:
+            df = df.select(*reads).repartition(tasks_for(table(spark, sf_dir, "lineitem")), "date")
+        return build(df).select(rounded(*sql))
 
 
 def z_sql(value: str) -> str:
@@ -54,9 +59,9 @@ z AS (SELECT m.entity, m.date, (ret - CASE WHEN n < 5 THEN ps / pn ELSE mean END
 put("cx01_date_wise_z", lambda df: c.date_wise_z(df, "ret"), {"z": "z"}, z_sql("ret"), "z")
 put("cx02_member_z", lambda df: c.date_wise_z(df, "ret", "member"), {"z": "z"}, z_sql("CASE WHEN member THEN ret END"), "z")
 put("cx04_sector_neutral", lambda df: df.withColumn("n", c.sector_neutral("ret")), {"n": f"CASE WHEN count(ret) OVER {XS} >= 2 THEN ret - median(ret) OVER {XS} ELSE ret END"})
-put("cx06_rank_normal", lambda df: df.withColumn("g", c.rank_normal("ret")), {"g": f"CASE WHEN n < 2 THEN 0 WHEN ret IS NOT NULL THEN {sql_normal_quantile('q')} END"}, f""",
+put("cx06_rank_normal", lambda df: c.with_rank_normal(df, "ret", "g"), {"g": f"CASE WHEN n < 2 THEN 0 WHEN ret IS NOT NULL THEN {sql_normal_quantile('q')} END"}, f""",
 k AS (SELECT *, count(ret) OVER {X} AS n, {rank_sql('ret')} AS r FROM m),
-k2 AS (SELECT *, greatest(1.0::DOUBLE / (n + 1), least(1 - 1.0::DOUBLE / (n + 1), (r::DOUBLE - 0.5) / n)) AS q FROM k)""", "k2")
+k2 AS (SELECT *, greatest(1.0::DOUBLE / (n + 1), least(1 - 1.0::DOUBLE / (n + 1), (r::DOUBLE - 0.5) / n)) AS q FROM k)""", "k2", reads=("entity", "date", "ret"))
 put("cx07_plain_z", lambda df: df.withColumn("z", c.plain_z("close")), {"z": f"(close - avg(close) OVER {X}) / (CASE WHEN stddev_samp(close) OVER {X} = 0 THEN 1 ELSE stddev_samp(close) OVER {X} END)"})
 put("cx08_adaptive_strength", lambda df: rolled(df, lambda: {"a": c.adaptive_strength("ret")}), {"a": f"ret * (1 + 0.5 * CASE WHEN (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0) IS NULL THEN 0 ELSE greatest(-0.5, least(1, (stddev_samp(ret) OVER {w(20)} - stddev_samp(ret) OVER {w(60)}) / nullif(stddev_samp(ret) OVER {w(60)}, 0))) END)"})
 put("cx10_sector_relative", lambda df: df.withColumn("r", c.relative_to_sector("close")).withColumn("high", c.above_quantile("close", 0.8).cast("int")), {"r": f"CASE WHEN abs(median(close) OVER {XS}) <= 1e-8 THEN 1 ELSE close / median(close) OVER {XS} END", "high": f"CAST(close > quantile_cont(close, 0.8) OVER {X} AS INT)"})

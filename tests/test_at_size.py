@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from stratagrid.operators import account, aggregates, series, text
+from stratagrid import session
+from stratagrid.operators import account, aggregates, cross_section, series, text
+from stratagrid.plans import registry
+from stratagrid.sources import store
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -72,3 +75,37 @@ def test_the_grid_unfolds_in_tasks_of_bounded_size(spark, monkeypatch):
     assert len(sizes) >= 20 and max(sizes) < len(want) / 3
     assert "sortmergejoin" not in plan(grid)
     assert series.grid(df.where("false")).count() == 0
+
+
+def test_rank_normal_has_two_windows_and_whole_dates(spark, sf, monkeypatch):
+    """The quantile's many mentions of its share are no windows of their own; tasks follow the table's rows."""
+    rows = [(e, DAY + datetime.timedelta(d), None if d == 2 or (e + d) % 5 == 0 else float(e * e % 7)) for e in range(9) for d in range(4)] + [(1, DAY + datetime.timedelta(9), 3.0)]
+    df = spark.createDataFrame(rows, "entity int, date date, ret double")
+    got = cross_section.with_rank_normal(df, "ret", "g")
+    assert got.columns == ["entity", "date", "ret", "g"] and plan(got).count(" rank(ret") <= 2 * 2
+    want = cross_section.rank_normal("ret")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("g", F.when(F.count("ret").over(cross_section.per_date()) > 0, want).otherwise(F.lit(0.0))).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    assert "hashpartitioning(date#" in plan(registry.QUERIES["cx06_rank_normal"](spark, sf)) and ", 60)" in plan(registry.QUERIES["cx06_rank_normal"](spark, sf))
+
+
+def test_concepts_rank_whole_dates_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    rows = [(e, DAY + datetime.timedelta(d), "b", float((e * 7 + d) % 4)) for e in range(20) for d in range(10)]
+    df = spark.createDataFrame(rows, "entity int, date date, board string, mom double")
+    out = aggregates.concepts(df, "board", "mom")
+    assert ", 20)" in plan(out) and plan(out).count("window [") <= 3
+    for r in out.collect():
+        day = [x[3] for x in rows if x[1] == r.date]
+        mine = next(x[3] for x in rows if x[1] == r.date and x[0] == r.entity)
+        pct = (sum(v < mine for v in day) + (day.count(mine) + 1) / 2) / len(day)
+        assert abs(r.heat - pct) < 1e-12 and r.boards == 1 and r.max_mom == mine and r.hot == (pct > 0.9)
+
+
+def test_compaction_makes_more_files_of_more_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    df = spark.createDataFrame([(e, DAY + datetime.timedelta(d), float(d)) for e in range(20) for d in range(10)], "entity int, date date, volume double").repartition(3)
+    store.compact(df, str(tmp_path / "big"), 4)
+    assert len(list((tmp_path / "big").glob("*.parquet"))) >= 15 and spark.read.parquet(str(tmp_path / "big")).exceptAll(df).count() == 0
+    store.compact(df.limit(8), str(tmp_path / "few"), 4)
+    assert len(list((tmp_path / "few").glob("*.parquet"))) <= 4
