@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from stratagrid.functions.windows import DATE, ENTITY
 from stratagrid.operators.selection import positions
-from stratagrid.session import stored
+from stratagrid.session import stored, tasks_for
 
 
 def block_days(events: DataFrame, premium: str, amount: str, volume: str, note: str, marks: dict[str, str]) -> DataFrame:
@@ -81,11 +81,14 @@ def mode_of(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 def concepts(rows: DataFrame, board: str, momentum: str) -> DataFrame:
     """Per (date, entity): boards, mean and greatest momentum, boards in the date's top tenth, mean rank share."""
+    held = rows.select(DATE, ENTITY, board, momentum)
+    dealt = held.repartition(tasks_for(rows), DATE)  # whole dates, so their number of rows in a task doesn't grow with the table
     by = Window.partitionBy(DATE)
-    n = F.count(F.lit(1)).over(by)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(DATE, momentum))
-    pct = (F.rank().over(by.orderBy(momentum)) + (peers - 1) / 2.0) / n
-    return rows.withColumn("_p", pct).groupBy(DATE, ENTITY).agg(F.count(board).alias("boards"), F.avg(momentum).alias("mean_mom"), F.max(momentum).alias("max_mom"), F.count_if(F.col("_p") > 0.9).alias("hot"), F.avg("_p").alias("heat"))
+    # of equal values the first has the rank, the last the rank's end: one sort gives both
+    upto = by.orderBy(momentum).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumns({"_first": F.rank().over(by.orderBy(momentum)), "_last": F.count(F.lit(1)).over(upto), "_n": F.count(F.lit(1)).over(by)})
+    pct = (F.col("_first") + (F.col("_last") - F.col("_first")) / 2.0) / F.col("_n")
+    return ranked.withColumn("_p", pct).groupBy(DATE, ENTITY).agg(F.count(board).alias("boards"), F.avg(momentum).alias("mean_mom"), F.max(momentum).alias("max_mom"), F.count_if(F.col("_p") > 0.9).alias("hot"), F.avg("_p").alias("heat"))
 
 
 def sparsity(rows: DataFrame, columns: list[str]) -> DataFrame:
