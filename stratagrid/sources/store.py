@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stratagrid.functions.windows import DATE, ENTITY
 from stratagrid.operators.channels import last_write_wins
+from stratagrid.session import dropped, stored, tasks_for
 
 BARS = "entity string, date date, open double, high double, low double, close double, volume double, amount double, pct_change double"
 INTRADAY = "entity string, ts timestamp, open double, high double, low double, close double, volume double, amount double, bar_period int"
@@ -142,8 +143,10 @@ def manifest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compact(df: DataFrame, path: str, files: int) -> None:
-    """Many fragments to ``files`` files, rows of an entity together and in date order."""
-    df.repartitionByRange(files, ENTITY, DATE).sortWithinPartitions(ENTITY, DATE).write.mode("overwrite").parquet(path)
+    """Many fragments to ``files`` files, or to more where these would hold over TASK_ROWS rows; rows of an entity together and in date order."""
+    held = stored(df)  # made once: it is counted, sampled for the ranges, and written
+    held.repartitionByRange(tasks_for(held, files), ENTITY, DATE).sortWithinPartitions(ENTITY, DATE).write.mode("overwrite").parquet(path)
+    dropped(held)
 
 
 def report(df: DataFrame, path: str, kind: str = "csv") -> None:
