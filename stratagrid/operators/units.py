@@ -39,9 +39,17 @@ def by_level(median: Column, unsure: Column) -> Column:
     return F.when(median < UNSURE_FROM, SHARES).when(median > UNSURE_TO, LOTS).otherwise(unsure)
 
 
+def medians(rows: DataFrame, *by: str) -> DataFrame:
+    """``by``, median ratio and n, from rows sorted in their groups: no map of a group's values."""
+    own = Window.partitionBy(*by)
+    placed = rows.select(*by, "ratio", F.row_number().over(own.orderBy("ratio")).alias("_r"), F.count(F.lit(1)).over(own).alias("n"))
+    middle = placed.where((2 * F.col("_r")).between(F.col("n"), F.col("n") + 2))  # one row, or the two around the middle
+    return middle.groupBy(*by).agg(F.avg("ratio").alias("median"), F.max("n").alias("n"))
+
+
 def years(rows: DataFrame) -> DataFrame:
     """Per entity and year of ``rows`` (with year and ratio): median, n, unit, corrupt and unsure."""
-    by = rows.groupBy(ENTITY, "year").agg(F.median("ratio").alias("median"), F.count("*").alias("n"))
+    by = medians(rows, ENTITY, "year")
     walked = by.where(F.col("n") >= ENOUGH)
     back = Window.partitionBy(ENTITY).orderBy(F.desc("year"))
     jump = F.lag("median").over(back) / F.col("median")
@@ -53,8 +61,9 @@ def years(rows: DataFrame) -> DataFrame:
     # a year of few rows: the nearest walked one; an entity has a few dozen years at most
     every = known.groupBy(ENTITY).agg(F.array_sort(F.collect_list(F.struct("year", "unit"))).alias("_known"))
     away = F.array_min(F.transform("_known", lambda k: F.struct(F.abs(k["year"] - F.col("year")).alias("away"), k["year"].alias("year"), k["unit"].alias("unit"))))
-    whole = rows.groupBy(ENTITY).agg(F.median("ratio").alias("_whole"))
-    out = by.join(known, [ENTITY, "year"], "left").join(every, ENTITY, "left").join(whole, ENTITY)
+    # all rows of an entity are asked only where it has no walked year
+    whole = medians(rows.join(every.select(ENTITY), ENTITY, "left_anti"), ENTITY).select(ENTITY, F.col("median").alias("_whole"))
+    out = by.join(known, [ENTITY, "year"], "left").join(every, ENTITY, "left").join(whole, ENTITY, "left").where(F.col(ENTITY).isNotNull())
     lone = F.col("_known").isNull()
     unit = F.when(lone, by_level(F.col("_whole"), F.lit(None))).otherwise(F.coalesce("unit", away["unit"]))
     unsure = F.when(lone, F.col("_whole").between(UNSURE_FROM, UNSURE_TO)).otherwise(F.coalesce("unsure", F.lit(False)))

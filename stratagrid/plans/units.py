@@ -8,6 +8,7 @@ from stratagrid.operators import units as u
 from stratagrid.plans.bars import daily
 from stratagrid.plans.registry import query
 from stratagrid.plans.sql import BARS
+from stratagrid.session import stored
 
 #: Early years of one entity in three are in lots; some rows are of the other unit or a thousand times off; one entity has a year nothing explains.
 TAINT = """CASE WHEN entity % 13 = 4 AND year(date) = 1999 THEN 1e6 WHEN (entity + dayofyear(date)) % 97 = 0 THEN 1e4
@@ -32,7 +33,8 @@ u AS MATERIALIZED (SELECT y.entity, y.year, y.med AS median, y.n,
 
 def tainted(spark, sf_dir):
     volume = F.when(F.expr(SPARSE), F.col("volume") / F.expr(TAINT).cast("double"))
-    return daily(spark, sf_dir).select("entity", "date", "close", "amount", volume.alias("volume"))
+    # read for the medians and for the rows: bars are made once
+    return stored(daily(spark, sf_dir).select("entity", "date", "close", "amount", volume.alias("volume")))
 
 
 @query("md09_unit_years", SQL + " SELECT entity, year, round(median, 6) AS median, n, CAST(unit AS BIGINT) AS unit, corrupt, unsure FROM u")

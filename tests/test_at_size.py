@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from stratagrid import session
-from stratagrid.operators import account, aggregates, cross_section, series, text
+from stratagrid.operators import account, aggregates, cross_section, series, text, units
 from stratagrid.plans import registry
 from stratagrid.sources import store
 
@@ -109,3 +109,12 @@ def test_compaction_makes_more_files_of_more_rows(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "big").glob("*.parquet"))) >= 15 and spark.read.parquet(str(tmp_path / "big")).exceptAll(df).count() == 0
     store.compact(df.limit(8), str(tmp_path / "few"), 4)
     assert len(list((tmp_path / "few").glob("*.parquet"))) <= 4
+
+
+def test_unit_medians_keep_no_map_of_a_group(spark):
+    rng = random.Random(4)
+    held = [(e, 1990 + y, rng.choice([1.0, 2.0, rng.uniform(0, 200)])) for e in range(6) for y in range(4) for _ in range(1 + (e * y) % 7)]
+    rows = spark.createDataFrame([*held, (None, 1990, 3.0)], "entity int, year long, ratio double")
+    want = rows.groupBy("entity", "year").agg(F.median("ratio").alias("median"), F.count("*").alias("n"))
+    assert sorted(map(str, units.medians(rows, "entity", "year").collect())) == sorted(map(str, want.collect()))
+    assert "median(" not in plan(units.years(rows)) and all(r.entity is not None for r in units.years(rows).collect())
