@@ -19,8 +19,10 @@
    dropped; the others are verified on their whole texts, with the weights of step 1.
 5. Verified links are joined to connected components by passing smallest labels along links and jumping.
 6. What the neighbours leave out is made up for: of every bucket whose members aren't all in one component
-   by now, all pairs from different components are compared, in cells of CELL members that are dealt over
-   the tasks: by sketches in a small bucket, then on whole texts. A pair inside a component can't change a class, so the
+   by now, all pairs from different components are compared on whole texts, in cells of CELL members that are dealt over
+   the tasks. In a small bucket a text is left out that is surely no link of any other part's: each text has its
+   weights added up in bins (``binned``), and the bins of two texts differ by no more than their weights do. So no
+   link is lost here to sketches, and a pair inside a component can't change a class: the
    classes are those of all pairs of all buckets. ``links(docs, every=True)`` compares those as well and
    gives every link. The work, not the rows, grows with the square of those members of a group that aren't linked yet.
 
@@ -61,8 +63,10 @@ NEXT = 5
 #: Members of a bucket that are held against each other, or against another cell, at once, and about the bytes of their texts.
 CELL = 256
 CELL_BYTES = 1 << 20
-#: Agreeing samples, as a share, below which a pair isn't verified: 3 deviations below the threshold.
+#: Agreeing samples, as a share, below which neighbours aren't verified at first: 3 deviations below the threshold.
 LEAST_ALIKE = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
+#: Bins of a text's weights: about one a shingle, between these; and parts of a weight of 1 that a bin counts in.
+LEAST_BINS, MOST_BINS, BIN_PARTS = 16, 4096, 16
 #: Steps of a frequency's code for each doubling.
 STEPS = 8
 #: Counters of frequencies have keys of so many bits more than it takes to number the corpus' bytes.
@@ -135,6 +139,19 @@ def places(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return buckets, orders
 
 
+def binned(g: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A text's weights added up by the low bits of its shingles, in whole parts rounded down, 255 at most."""
+    n = min(MOST_BINS, max(LEAST_BINS, 1 << (len(g) - 1).bit_length()))
+    return np.minimum(255, np.bincount((g & np.uint64(n - 1)).astype(np.int64), weight * BIN_PARTS, n)).astype(np.uint8)
+
+
+def differing(one: np.ndarray, two: np.ndarray) -> float:
+    """By how much the weights of two texts differ at least: bins of bins can only be nearer to each other, and so can rounded and cut ones, but for less than a part each."""
+    n, most = min(len(one), len(two)), max(len(one), len(two))
+    a, b = (x.reshape(-1, n).sum(axis=0, dtype=np.int64) for x in (one, two))
+    return float(np.maximum(np.abs(a - b) - most // n, 0).sum()) / BIN_PARTS
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, vertex (digest of the text, null for a null text) and text."""
     return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("v"), F.col("text").cast("binary").alias("text"))
@@ -179,7 +196,7 @@ def of_block(table: pa.Table, bits: int) -> tuple[list[bytes], tuple[np.ndarray,
 
 
 def signed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """For each different text with words: v, sketch, places in its buckets, and codes (the frequency of each of its shingles, by hash). And N."""
+    """For each different text with words: v, sketch, places in its buckets, codes (the frequency of each of its shingles, by hash), weight (of all of them) and bins. And N."""
     rows = keyed(docs).where("v is not null")
     total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct("v")).first()
     n_blocks, n_shards = max(1, math.ceil(total / sizes.BLOCK_BYTES)), max(1, math.ceil(total / sizes.SHARD_BYTES))
@@ -209,9 +226,11 @@ def signed(docs: DataFrame) -> tuple[DataFrame, int]:
             if len(p):
                 code[p] = np.frombuffer(answers[s], np.uint8)
         code = code[which]
-        at, samples = sampled(g, tf * rarity(code, n), doc, tables())
+        weight = tf * rarity(code, n)
+        at, samples = sampled(g, weight, doc, tables())
         buckets, orders = places(samples)
         begin = np.searchsorted(doc, np.append(at, len(vs)))
+        own_rows = [slice(a, b) for a, b in zip(begin[:-1], begin[1:], strict=True)]
         place = pa.StructArray.from_arrays([pa.array(buckets.ravel().view(np.int64)), pa.array(orders.ravel().view(np.int64))], ["bucket", "deep"])
         sketch = np.ascontiguousarray((samples & np.uint64(255)).astype(np.uint8).T)
         return pa.table(
@@ -219,13 +238,15 @@ def signed(docs: DataFrame) -> tuple[DataFrame, int]:
                 "v": pa.array([vs[i] for i in at], pa.binary()),
                 "sketch": pa.array([row.tobytes() for row in sketch], pa.binary()),
                 "places": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), place),
-                "codes": pa.array([code[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary()),
+                "codes": pa.array([code[x].tobytes() for x in own_rows], pa.binary()),
+                "weight": pa.array([float(weight[x].sum()) for x in own_rows], pa.float64()),
+                "bins": pa.array([binned(g[x], weight[x]).tobytes() for x in own_rows], pa.binary()),
             }
         )
 
     sent = texts.groupBy("block").applyInArrow(send, "block int, shard int, keys binary, times binary")
     answers = sent.groupBy("shard").applyInArrow(resolve, "block int, shard int, codes binary")
-    return stored(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sign, "v binary, sketch binary, places array<struct<bucket:bigint,deep:bigint>>, codes binary")), n
+    return stored(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sign, "v binary, sketch binary, places array<struct<bucket:bigint,deep:bigint>>, codes binary, weight double, bins binary")), n
 
 
 def neighbours(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,10 +366,11 @@ HELD = "bucket long, cell long, low long, high long, rows array<struct<v:binary,
 def mixed_rows(signatures: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(bucket, v, part) of members of buckets that hold several components (``part``), or without labels several texts.
 
-    Of a bucket of at most CELL members only those stay whose sketch is like that of one of another part.
+    Of a bucket of at most CELL members only those stay that may be a link of one of another part, by their weights and bins.
     """
+    apart = (1 - THRESHOLD) / (1 + THRESHOLD) * (1 + 1e-9)  # the weights of a link differ by this share of their sum at most
     label = labels.select("v", F.xxhash64("label").alias("part")) if labels else signatures.select("v", F.xxhash64("v").alias("part"))
-    own = stored(signatures.select("v", "sketch", F.col("places.bucket").alias("buckets")).join(label, "v", "left").withColumn("part", F.coalesce("part", F.xxhash64("v"))))
+    own = stored(signatures.select("v", F.col("places.bucket").alias("buckets")).join(label, "v", "left").withColumn("part", F.coalesce("part", F.xxhash64("v"))))
     in_buckets = own.select("v", "part", F.explode("buckets").alias("bucket"))
     several = in_buckets.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
     rows = stored(in_buckets.join(several, "bucket"))
@@ -366,13 +388,18 @@ def mixed_rows(signatures: DataFrame, labels: DataFrame | None) -> DataFrame:
             yield stirred(held, np.array([held.num_rows]))
 
     def stirred(batch: pa.RecordBatch, ends: np.ndarray) -> pa.RecordBatch:
-        part, sketch = batch.column("part").to_numpy(), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        part, weight = batch.column("part").to_numpy(), batch.column("weight").to_numpy()
+        bins = [np.frombuffer(x, np.uint8) for x in batch.column("bins").to_pylist()]
         stay = np.zeros(len(part), bool)
         for x, y in zip(np.append(0, ends[:-1]), ends, strict=True):
-            stay[x:y] = ((part[x:y, None] != part[None, x:y]) & agreeing(sketch[x:y, None, :], sketch[None, x:y, :])).any(axis=1)
+            w, p = weight[x:y], part[x:y]
+            most = (w[:, None] + w[None, :]) * apart
+            for i, j in zip(*np.nonzero(np.triu((p[:, None] != p[None, :]) & (np.abs(w[:, None] - w[None, :]) <= most), 1)), strict=True):
+                if not (stay[x + i] and stay[x + j]) and differing(bins[x + i], bins[x + j]) <= most[i, j]:
+                    stay[x + i] = stay[x + j] = True
         return batch.select(["bucket", "v", "part"]).filter(pa.array(stay))
 
-    small = rows.where(F.col("n") <= CELL).join(own.select("v", "sketch"), "v").select("bucket", "v", "part", "sketch")
+    small = rows.where(F.col("n") <= CELL).join(signatures.select("v", "weight", "bins"), "v").select("bucket", "v", "part", "weight", "bins")
     small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(awake, "bucket long, v binary, part long")
     found = stored(small.unionByName(rows.where(F.col("n") > CELL).select("bucket", "v", "part")))
     dropped(own, rows)

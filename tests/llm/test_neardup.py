@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from stratagrid.llm import neardup
 from stratagrid.session import table
 from tests.llm.conftest import LINE
@@ -154,6 +156,38 @@ def test_classes_and_links_with_one_neighbour(spark, monkeypatch):
     assert n > 400 and found.count() == found.select("a", "b").distinct().count() and 0.99 * n <= found.count() <= n
 
 
+def test_a_link_whose_sketches_seldom_agree(spark):
+    """Two texts at 56 of 68 that share a bucket are one class, whatever else their sketches say."""
+    rng = random.Random(4)
+    for _ in range(20_000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        pair = [" ".join(words), " ".join([*words, *(f"x{rng.randrange(10**6)}" for _ in range(6))])]  # 56 shingles, and 6 more of weight 2
+        g, tf, doc = neardup.shingled([t.encode() for t in pair])
+        df = Counter(g.tolist())
+        _, samples = neardup.sampled(g, tf * neardup.rarity(np.array([8 * (df[x] - 1) for x in g.tolist()]), 2), doc, neardup.tables())
+        sketch = (samples & np.uint64(255)).astype(np.uint8).T
+        buckets = neardup.places(samples)[0]
+        if (buckets[0] == buckets[1]).any() and not neardup.agreeing(*sketch):
+            break
+    else:
+        raise AssertionError("no such pair")
+    assert len(all_links(list(enumerate(pair)))) == 1
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert classes(docs) == {0: 0, 1: 0}
+    assert neardup.links(docs, every=True).count() == 1
+
+
+def test_bins_differ_no_more_than_weights():
+    rng = np.random.default_rng(1)
+    for sizes in ((5, 5), (40, 50), (900, 1100), (30, 9000), (1, 1)):
+        one, two = (rng.choice(2**14, n, replace=False).astype(np.uint64) for n in sizes)
+        a, b = (rng.choice([1.0, 1.37, 2.0, 700.0], n) for n in sizes)
+        exact = Counter(dict(zip(one.tolist(), a, strict=True)))
+        exact.subtract(dict(zip(two.tolist(), b, strict=True)))
+        assert neardup.differing(neardup.binned(one, a), neardup.binned(two, b)) <= sum(abs(v) for v in exact.values()) + 1e-9
+        assert neardup.differing(neardup.binned(one, a), neardup.binned(one, a)) == 0
+
+
 def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, LINE, "a", "b", "c", "d"), (2, LINE, "e", "f", "g", "h")], "doc_id long, text string, key string, row string, v string, id string")
     assert [tuple(r) for r in neardup.keep(rows).collect()] == [(1, LINE, "a", "b", "c", "d")]
