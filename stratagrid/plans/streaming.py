@@ -62,6 +62,8 @@ def in_slices(spark, rows, slices: int, build) -> tuple:
 
 
 SLICES = 4
+#: About so many events, of all slices, belong to the users that share a state.
+BUCKET_ROWS = 1 << 15
 #: Events arrive with the slice of their week; one in 13 is four days late, one in 29 eleven days.
 DELAY = "CASE WHEN event_id % 29 = 3 THEN 11 WHEN event_id % 13 = 5 THEN 4 ELSE 0 END"
 ARRIVALS = f"""WITH a AS (SELECT *, least({SLICES - 1}, floor((date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + {DELAY}) / 7.5)) AS slice FROM events),
@@ -93,7 +95,9 @@ def late_rows(spark, sf_dir):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM o)
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, r HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT mark FROM e)""")
 def idle_spells(spark, sf_dir):
-    return in_slices(spark, arrivals(spark, sf_dir), SLICES, lambda e: ev.idle_spells(e, late="1 day"))[0]
+    rows = arrivals(spark, sf_dir)
+    buckets = max(64, -(-rows.count() // BUCKET_ROWS))
+    return in_slices(spark, rows, SLICES, lambda e: ev.idle_spells(e, late="1 day", buckets=buckets))[0]
 
 
 @query("st01_tumbling", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,43 +85,61 @@ def closed_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour"
     )
 
 
-def idle_spells(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+def idle_spells(events: DataFrame, gap: str = "6 hours", late: str = "1 hour", buckets: int = 256) -> DataFrame:
     """For append mode: user_id, start, last, n and total of a user's runs of events, given out once the user was idle for ``gap``.
 
     Runs are state until a timer on event time says that the watermark has passed them; rows out of order
     may still join two of them until then. A user's state holds the runs within the watermark's delay
-    and the gap only.
+    and the gap only. Users are dealt by hash to ``buckets`` groups, each with one state and timer, so that a
+    group's rows are worked on together; the number is part of the checkpoint and should grow with the users.
     """
     wait = int(pd.Timedelta(gap).total_seconds() * 1000)
 
     def step(key: tuple, batches, state: GroupState):
-        held = [tuple(r) for r in state.get[0]] if state.exists else []
+        held = [np.frombuffer(state.get[0], RUNS)] if state.exists else []
         for pdf in batches:
+            own = np.empty(len(pdf), RUNS)
             # whole microseconds, as Arrow's unit is a session's own
-            at = pdf["us"].to_numpy()
-            held += [(int(a), int(a), 1, float(v)) for a, v in zip(at, pdf["value"].to_numpy(), strict=True)]
-        held.sort()
-        runs: list[tuple] = []
-        for a, b, n, total in held:
-            if runs and a - runs[-1][1] < wait * 1000:
-                runs[-1] = (runs[-1][0], max(b, runs[-1][1]), runs[-1][2] + n, runs[-1][3] + total)
-            else:
-                runs.append((a, b, n, total))
+            for c, v in (("nobody", "nobody"), ("user_id", "user_id"), ("start", "us"), ("last", "us"), ("total", "value")):
+                own[c] = pdf[v].to_numpy()
+            own["n"] = 1
+            held.append(own)
+        runs = merged(np.concatenate(held), wait * 1000)
         mark = state.getCurrentWatermarkMs() * 1000
-        done = [r for r in runs if r[1] + wait * 1000 <= mark]
-        left = [r for r in runs if r[1] + wait * 1000 > mark]
-        if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(mark // 1000 + 1, -(-left[0][1] // 1000) + wait))
+        over = runs["last"] + wait * 1000 <= mark
+        done, left = runs[over], runs[~over]
+        if len(left):
+            state.update((left.tobytes(),))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, -(-int(left["last"].min()) // 1000) + wait))
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame({"user_id": [key[0]] * len(done), "start": [r[0] for r in done], "last": [r[1] for r in done], "n": [r[2] for r in done], "total": [r[3] for r in done]})
-
-    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), "value")
-    run = "struct<start: bigint, last: bigint, n: bigint, total: double>"
-    out = rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, start long, last long, n long, total double", f"runs array<{run}>", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n", F.round("total", 4).alias("total"))
+        if len(done):
+            yield pd.DataFrame({c: done[c] for c in RUNS.names})
+
+    nobody = F.col("user_id").isNull()
+    rows = events.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), nobody.alias("nobody"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"), "ts", F.unix_micros("ts").alias("us"), "value"
+    )
+    out = rows.groupBy("bucket").applyInPandasWithState(step, "nobody boolean, user_id long, start long, last long, n long, total double", "runs binary", "append", GroupStateTimeout.EventTimeTimeout)
+    user = F.when(~F.col("nobody"), F.col("user_id"))
+    return out.select(user.alias("user_id"), F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n", F.round("total", 4).alias("total"))
+
+
+RUNS = np.dtype([("nobody", "?"), ("user_id", "<i8"), ("start", "<i8"), ("last", "<i8"), ("n", "<i8"), ("total", "<f8")])
+
+
+def merged(runs: np.ndarray, wait: int) -> np.ndarray:
+    """Runs of any order and overlap, by user and start, those of one user joined that have less than ``wait`` between them."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs["total"], runs["last"], runs["start"], runs["user_id"], runs["nobody"]))]
+    other = np.append(True, (runs["user_id"][1:] != runs["user_id"][:-1]) | (runs["nobody"][1:] != runs["nobody"][:-1]))
+    upto = pd.Series(runs["last"]).groupby(np.cumsum(other)).cummax().to_numpy()
+    at = np.flatnonzero(other | np.append(True, runs["start"][1:] - upto[:-1] >= wait))
+    out = runs[at]
+    out["last"] = upto[np.append(at[1:], len(runs)) - 1]
+    out["n"], out["total"] = np.add.reduceat(runs["n"], at), np.add.reduceat(runs["total"], at)
+    return out
 
 
 def upsert(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

@@ -49,6 +49,14 @@ def test_a_row_out_of_order_joins_two_runs(spark):
     assert got == [(1, 10, 3), (2, 0, 1), (3, 0, 1)]
 
 
+def test_users_that_share_a_state_keep_their_own_runs(spark):
+    big = 2**53
+    rows = [(1, 0, 0, 0), (2, 1, None, 0), (3, 2, big, 0), (4, 3, big + 1, 0), (5, 10, 0, 0), (6, 5, 0, 1), (7, 5, None, 1), (8, 11, None, 1), (9, 100, 3, 1), (10, 200, 3, 2)]
+    out, _ = in_slices(spark, events(spark, rows), 3, lambda e: ev.idle_spells(e, late="1 day", buckets=1))
+    got = {(r.user_id, (r.start - START).total_seconds() / 3600, (r.last - START).total_seconds() / 3600, r.n, r.total) for r in out.collect()}
+    assert got == {(0, 0, 10, 3, 3.0), (None, 1, 5, 2, 2.0), (None, 11, 11, 1, 1.0), (big, 2, 2, 1, 1.0), (big + 1, 3, 3, 1, 1.0), (3, 100, 100, 1, 1.0)}
+
+
 PANEL = "entity string, date int, x double, y double, batch string"
 
 
