@@ -3,8 +3,11 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stratagrid.functions import edits
 from stratagrid.operators import text as t
 
 DAY = datetime.date(2024, 1, 1)
@@ -78,3 +81,50 @@ def test_counts_never_ask_for_more_edits_than_there_are(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for r in df.select("a", "b", t.least_edits(t.run_counts("a"), t.run_counts("b")).alias("n")).collect():
         assert r.n <= distance(r.a, r.b) + 1e-9
+
+
+def test_distances_and_bounds():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé 😀") for _ in range(rng.randrange(30))) for _ in range(2))
+        assert edits.distance(a, b) == distance(a, b)
+        for q in (3, 5, 7, 8):
+            assert edits.least(*(edits.runs(edits.code_points(x), q) for x in (a, b)), q) <= distance(a, b)
+            assert np.bitwise_count(edits.bits(edits.code_points(a), q, 64) ^ edits.bits(edits.code_points(b), q, 64)).sum() <= 2 * q * distance(a, b)
+
+
+@pytest.mark.parametrize("part", [1 << 23, 400])
+def test_each_pair_meets_once_in_blocks_and_parts(spark, monkeypatch, part):
+    """Days and lengths on both sides of every border of blocks, copies, no key and no date; also if blocks are cut to parts."""
+    monkeypatch.setattr(t, "PART", part)
+    rng = random.Random(8)
+    rows = []
+    for base in ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (8, 9, 11, 40, 41, 60, 90)):
+        for _ in range(12):
+            s = list(base)
+            for _ in range(rng.randrange(1 + len(s) // 12)):
+                s[rng.randrange(len(s))] = rng.choice(["", "x", "zé"])
+            rows.append((len(rows), rng.choice("ef"), rng.randrange(14), "".join(s)))
+    rows += [(None, "e", 3, rows[0][3]), (None, "e", 4, rows[0][3]), (500, "e", None, rows[0][3]), (501, None, 3, rows[0][3])]
+    df = spark.createDataFrame([(k, e, None if d is None else DAY + datetime.timedelta(days=d), x) for k, e, d, x in rows], "k long, entity string, date date, text string")
+    got = [(r.later, r.earlier, r.similarity) for r in t.near_pairs(df, "text", "k").collect()]
+    want = set()
+    for ka, ea, da, a in rows:
+        for kb, eb, db, b in rows:
+            if ea and ea == eb and None not in (da, db) and 0 <= da - db <= 3 and (db < da or (None not in (ka, kb) and kb < ka)):
+                s = round(1 - distance(a, b) / max(len(a), len(b)), 6)
+                want |= {(ka, kb, s)} if s > 0.9 else set()
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_are_sought_once(spark):
+    """However often rounds ask for them, the pairs given to ``decided`` are computed once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    pairs = spark.range(1, 6).select(F.udf(counted, "long")("id").alias("later"), (F.col("id") - 1).alias("earlier"))
+    assert {r.k: r.kept for r in t.decided(pairs).collect()} == {k: k % 2 == 0 for k in range(6)}
+    assert made.value == 5
