@@ -3,7 +3,9 @@
 import datetime
 import math
 import random
+import struct
 
+import duckdb
 from pyspark.sql import functions as F
 
 from stratagrid import session
@@ -118,3 +120,10 @@ def test_unit_medians_keep_no_map_of_a_group(spark):
     want = rows.groupBy("entity", "year").agg(F.median("ratio").alias("median"), F.count("*").alias("n"))
     assert sorted(map(str, units.medians(rows, "entity", "year").collect())) == sorted(map(str, want.collect()))
     assert "median(" not in plan(units.years(rows)) and all(r.entity is not None for r in units.years(rows).collect())
+
+
+def test_a_move_from_zero_to_zero_is_the_nan_of_sql(spark):
+    df = spark.createDataFrame([(i, datetime.datetime(2024, 1, 1, 10, i), 1, v) for i, v in enumerate([0.0, 0.0, 5.0])], "event_id long, ts timestamp, entity long, value double")
+    rows = series.intraday(df).select((F.round(F.col("opening_move") * 1e6) / 1e6).alias("m")).collect()
+    want = duckdb.sql("SELECT round(b / a - 1, 6) FROM (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM range(1))").fetchall()[0][0]
+    assert {struct.pack(">d", r.m) for r in rows} == {struct.pack(">d", want)}
