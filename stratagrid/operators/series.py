@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,8 +147,8 @@ def outlier_clip(df: DataFrame, x: str, k: float = 5.0, d: int = 252, least: int
     return rolled(df, clipped)
 
 
-def robust_scale(df: DataFrame, x: str, d: int = 252, least: int = 63) -> DataFrame:
-    """Clipped to mean +- 3 deviations, then (x - median) / (1.4826 MAD + eps), in +-1e4."""
+def robust_scale(df: DataFrame, x: str, d: int = 252, least: int = 63, also: Callable[[], dict[str, Column]] = dict) -> DataFrame:
+    """Clipped to mean +- 3 deviations, then (x - median) / (1.4826 MAD + eps), in +-1e4; ``also`` gives more columns of the same last pass."""
 
     def held() -> dict[str, Column]:
         mean, dev = at_least(x, d, least), at_least(x, d, least, F.stddev_samp)
@@ -156,7 +157,7 @@ def robust_scale(df: DataFrame, x: str, d: int = 252, least: int = 63) -> DataFr
     def scaled() -> dict[str, Column]:
         mid, n = last(quantile(0.5), d, "_c"), last(F.count, d, "_c")
         eps = F.greatest(1e-3 * F.abs(mid), F.lit(1e-6))
-        return {f"{x}_rs": F.when(n >= least, clip((F.col("_c") - mid) / (1.4826 * last(mad, d, "_c") + eps), -1e4, 1e4))}
+        return {f"{x}_rs": F.when(n >= least, clip((F.col("_c") - mid) / (1.4826 * last(mad, d, "_c") + eps), -1e4, 1e4))} | also()
 
     return rolled(rolled(df, held), scaled).drop("_c")
 

@@ -55,9 +55,14 @@ def numeric(x: str, sector: str = "sector") -> Chain:
 
 
 def numeric_full(x: str, sector: str = "sector") -> Chain:
-    """The numeric chain, then scaled by median and deviation, with the moments of returns beside it."""
-    scaled = plain("scale", lambda df: series.robust_scale(df, "neutral"))
-    return Chain("numeric_full", [*numeric(x, sector).steps, scaled, plain("higher_order", lambda df: rolled(df, series.higher_order))])
+    """The numeric chain, then scaled by median and deviation, with the moments of returns beside it, both in one pass.
+
+    Each step goes through an exchange, so columns that no later step reads end with the one that does: the result has ``neutral``, not what led to it.
+    """
+    outlier, missing, neutral, adaptive = numeric(x, sector).steps
+    narrow = lambda name, *gone: plain(name, lambda df: df.drop(*gone))
+    scaled = plain("scale", lambda df: series.robust_scale(df, "neutral", also=series.higher_order))
+    return Chain("numeric_full", [outlier, narrow("clipped", x), missing, narrow("filled", f"{x}_clip", "has_gap"), neutral, narrow("levels", "filled", sector), adaptive, scaled])
 
 
 def text_daily(half_life: float = 7.0) -> Chain:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stratagrid.functions import rolling
 from stratagrid.functions.rolling import last, quantile, rolled
 from stratagrid.operators import series, technical
+from stratagrid.plans import registry  # noqa: F401
+from stratagrid.plans import chains
 
 
 def rows(spark, odd=True):
@@ -66,3 +68,22 @@ def test_clip_is_the_median_and_its_deviation(spark):
             far = mid([abs(y - m) for y in v]) if v else 0
             want = min(m + far, max(m - far, x)) if x is not None and len(v) >= 3 and far > 1e-12 else x
             assert same(got[e, d][1], want)
+
+
+def test_rows_carry_no_column_twice(spark):
+    """A column of doubles is an input as it stands; casts and expressions are columns of their own."""
+    df = rows(spark).withColumn("i", F.lit(2))
+    plan = lambda build: rolled(df, build)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" not in plan(lambda: {"m": last(F.avg, 3, "x"), "s": last(F.max, 4, "y")})
+    assert "_x" in plan(lambda: {"m": last(F.avg, 3, "i")}) and "_x" in plan(lambda: {"m": last(F.avg, 3, F.col("x") * 2)})
+    got = {(r.entity, r.date): r.m for r in rolled(df, lambda: {"m": last(F.count, 3, "x"), "k": last(F.sum, 2, "i")}).collect()}
+    assert got == {(r.entity, r.date): float(r.m) for r in df.withColumn("m", last(F.count, 3, "x")).collect()}
+    named = df.withColumnRenamed("x", "n")
+    assert sorted(r.m for r in rolled(named, lambda: {"m": last(F.count, 3, "n")}).collect()) == sorted(got.values())
+
+
+def test_the_whole_chain_carries_what_is_read_later(spark):
+    df = rows(spark, odd=False).select("entity", "date", "x", F.lit(1).alias("sector"), "y", F.col("rn").alias("close"), F.col("y").alias("ret"), F.col("rn").alias("volume"), F.col("rn").alias("amount"))
+    out = chains.numeric_full("x").run(df)
+    assert set(out.columns) == {"entity", "date", "y", "close", "ret", "volume", "amount", "neutral", "neutral_rs", *series.higher_order()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 4
